@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from .common import materialise, mix, release, row_keyed, shingle_sets, unkeyed, utf8
 from .components import components
 
-COORDS = 64
+#: Minwise coordinates: of the sketch that rules pairs out, and those of them that trees branch by.
+COORDS, BRANCHING = 128, 64
 TREES = 12
-#: Branches per node: one or two, evenly.
-SMALL = 24
-START = 2
-#: Pairs whose estimated similarity is this much below the threshold aren't confirmed; five standard errors.
-MARGIN = 0.27
+#: Nodes of at most so many documents are compared exhaustively.
+SMALL = 256
+#: Depth of the first nodes, and levels between one look at the nodes and the next.
+START = STEP = 2
+#: Pairs whose estimated similarity is this much below the threshold aren't confirmed; nearly five standard errors.
+MARGIN = 0.17
 
 _rng = np.random.default_rng(0x5EED)
 _A = (_rng.integers(0, 1 << 32, COORDS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -58,8 +60,8 @@ def branch(path: np.ndarray, row: np.ndarray, sig: np.ndarray) -> tuple[np.ndarr
     """The children of nodes ``path``, each holding the document in ``sig``'s row ``row``."""
     with np.errstate(over="ignore"):
         pick = mix(path + np.uint64(0xA5A5A5A5))
-        one = (pick >> np.uint64(8)) % np.uint64(COORDS)
-        two = (one + np.uint64(1) + (pick >> np.uint64(24)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
+        one = (pick >> np.uint64(8)) % np.uint64(BRANCHING)
+        two = (one + np.uint64(1) + (pick >> np.uint64(24)) % np.uint64(BRANCHING - 1)) % np.uint64(BRANCHING)
         more = (pick & np.uint64(1)).astype(bool)
         paths = np.concatenate([path, path[more]])
         rows = np.concatenate([row, row[more]])
@@ -76,7 +78,7 @@ def _features(k: int):
             for s in shingle_sets(data, off, k):
                 n.append(len(s))
                 g = signature(s)
-                sig.append(g.tobytes())
+                sig.append(g[:BRANCHING].tobytes())
                 low.append(g.astype(np.uint8).tobytes())
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], ["_k", "n", "digest", "sig", "low"])
@@ -89,7 +91,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BRANCHING)
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for t in range(TREES):
             row = np.arange(len(ids))
@@ -100,12 +102,14 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, _k, sig) -> (node, _k), one level further."""
+    """(node, _k, sig) -> (node, _k), STEP levels further."""
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, COORDS)
-        path, row = branch(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(len(sig)), sig)
+        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, BRANCHING)
+        path, row = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(len(sig))
+        for _ in range(STEP):
+            path, row = branch(path, row, sig)
         ids = b.column(1).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[row])], ["node", "_k"])
 
@@ -229,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     release(spark)
     depth = START
     while True:
-        depth += 1
+        depth += STEP
         rooted = level.join(roots, level._k == roots.node, "left").select(level.node, "_k", F.coalesce("root", "_k").alias("root"))
         open_ = rooted.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("_k", F.xxhash64("_k", F.lit(depth))).alias("lead"))
         open_ = open_.filter("r0 <> r1").select("node", "c", "lead")
