@@ -1,5 +1,264 @@
-"""All queries of the tile engine with their SQL."""
+"""All queries of the tile engine with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .functions import pixels as P
+from .operators import batches, containers, jpeg, packets, passthrough, reports, viewport
+from .plans import tiles as T
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "passthrough_decision"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ geometry and buffers
+
+
+@query(f"WITH {T.REQUESTS_SQL} SELECT idx, x // denom AS x, y // denom AS y, (x + w + denom - 1) // denom - x // denom AS w, (y + h + denom - 1) // denom - y // denom AS h FROM requests")
+def roi_scaled_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = T.requests(spark, sf_dir)
+    return r.select("idx", G.scaled_covering(*map(F.col, ("x", "y", "w", "h", "denom"))).alias("s")).select("idx", "s.x", "s.y", "s.w", "s.h")
+
+
+@query(f"WITH {T.REQUESTS_SQL} SELECT idx FROM requests WHERE x + w <= 4096 AND y + h <= 4096")
+def roi_bounds_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = T.requests(spark, sf_dir)
+    return r.filter(G.within(*map(F.col, ("x", "y", "w", "h")), F.lit(4096), F.lit(4096))).select("idx")
+
+
+@query(f"""WITH {T.REQUESTS_SQL} SELECT idx, CASE WHEN w = 0 OR h = 0 THEN 0 ELSE (w * 3 + x % 64 - 16) * (h - 1) + w * 3 END AS need,
+CASE WHEN w * 3 + x % 64 - 16 < w * 3 THEN 'StrideTooSmall' WHEN w * h * 3 < CASE WHEN w = 0 OR h = 0 THEN 0 ELSE (w * 3 + x % 64 - 16) * (h - 1) + w * 3 END THEN 'OutputTooSmall' END AS error FROM requests""")
+def strided_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h, stride, bpp = F.col("w"), F.col("h"), F.col("w") * 3 + F.col("x") % 64 - 16, F.lit(3)
+    return T.requests(spark, sf_dir).select("idx", G.strided_output_len(w, h, stride, bpp).alias("need"), G.buffer_error(w, h, stride, w * h * 3, bpp).alias("error"))
+
+
+@query(f"""WITH {T.HEADERS_SQL} SELECT tile, 8 * max_h AS mcu_width, 8 * max_v AS mcu_height, (width + 8 * max_h - 1) // (8 * max_h) AS cols, (height + 8 * max_v - 1) // (8 * max_v) AS rows,
+((width + 8 * max_h - 1) // (8 * max_h)) * ((height + 8 * max_v - 1) // (8 * max_v)) AS count FROM headers""")
+def mcu_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = T.headers(spark, sf_dir)
+    return h.select("tile", G.mcu_geometry(*map(F.col, ("width", "height", "max_h", "max_v"))).alias("m")).select("tile", "m.*")
+
+
+@query(f"""WITH {T.HEADERS_SQL} SELECT CASE WHEN components = 1 THEN 'Gray' ELSE 'Rgb' END AS mode, CASE WHEN width * height * components * 1000 <= 536870912 THEN 'BoundedFullFrame' ELSE 'VeryLarge' END AS class, count(*) AS tiles FROM headers GROUP BY ALL""")
+def corpus_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = T.headers(spark, sf_dir)
+    size = F.col("width") * F.col("height") * F.col("components") * 1000
+    return h.groupBy(F.when(F.col("components") == 1, "Gray").otherwise("Rgb").alias("mode"), F.when(size <= 512 << 20, "BoundedFullFrame").otherwise("VeryLarge").alias("class")).agg(F.count(F.lit(1)).alias("tiles"))
+
+
+@query(f"""WITH {T.REQUESTS_SQL}, a AS (SELECT *, (x // 256) * 256 AS cx, (y // 256) * 256 AS cy FROM requests)
+SELECT idx, greatest(x, cx) AS x0, greatest(y, cy) AS y0, least(x + w, cx + 256) AS x1, least(y + h, cy + 256) AS y1, least(x, cx) AS ux0, least(y, cy) AS uy0, greatest(x + w, cx + 256) AS ux1, greatest(y + h, cy + 256) AS uy1,
+greatest(x - 16, 0) AS ex0, greatest(y - 16, 0) AS ey0, least(x + w + 16, 4096) AS ex1, least(y + h + 16, 4096) AS ey1 FROM a WHERE x < cx + 256 AND cx < x + w AND y < cy + 256 AND cy < y + h""")
+def rect_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection, bounding box and clipped margin of requests with their first cell."""
+    r = T.requests(spark, sf_dir).select("*", (F.floor(F.col("x") / 256) * 256).alias("cx"), (F.floor(F.col("y") / 256) * 256).alias("cy"))
+    x0, y0, cx, cy = map(F.col, ("x", "y", "cx", "cy"))
+    x1, y1 = x0 + F.col("w"), y0 + F.col("h")
+    e = G.expanded_within(x0, y0, x1, y1, F.lit(16), F.lit(0), F.lit(0), F.lit(4096), F.lit(4096))
+    low = [F.greatest(x0, cx).alias("x0"), F.greatest(y0, cy).alias("y0"), F.least(x1, cx + 256).alias("x1"), F.least(y1, cy + 256).alias("y1")]
+    box = [F.least(x0, cx).alias("ux0"), F.least(y0, cy).alias("uy0"), F.greatest(x1, cx + 256).alias("ux1"), F.greatest(y1, cy + 256).alias("uy1")]
+    return r.filter(G.intersects(x0, y0, x1, y1, cx, cy, cx + 256, cy + 256)).select("idx", *low, *box, *[e[n].alias(f"e{n}") for n in ("x0", "y0", "x1", "y1")])
+
+
+# ------------------------------------------------------------------ passthrough
+
+
+@query(f"""WITH {T.HEADERS_SQL}, {T.REQUIREMENTS_SQL}, r AS (SELECT tile, dest, CASE WHEN bytes = 0 THEN 'EmptyPayload' WHEN transfer_syntax <> want_syntax THEN 'TransferSyntaxMismatch'
+WHEN want_components IS NOT NULL AND components <> want_components THEN 'ComponentsMismatch' WHEN want_depth IS NOT NULL AND bit_depth <> want_depth THEN 'BitDepthMismatch' END AS reason
+FROM headers JOIN requirements ON tile % 25 = dest) SELECT tile, dest, reason, CASE WHEN reason IS NULL THEN 'Copy' ELSE 'Transcode' END AS decision FROM r""")
+def passthrough_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, q = T.headers(spark, sf_dir), T.requirements(spark, sf_dir)
+    both = h.join(q, h.tile % 25 == q.dest).withColumn("kind", F.lit("Tile"))
+    source = {"bytes": F.col("bytes"), "transfer_syntax": F.col("transfer_syntax"), "payload_kind": F.col("kind"), "components": F.col("components"), "bit_depth": F.col("bit_depth")}
+    wanted = {"transfer_syntax": F.col("want_syntax"), "payload_kind": F.lit("Tile"), "components": F.col("want_components"), "bit_depth": F.col("want_depth")}
+    return passthrough.decide(both, passthrough.reject_reason(source, wanted)).select("tile", "dest", "reason", "decision")
+
+
+# ------------------------------------------------------------------ pixels
+
+
+@query(f"""WITH {T.PIXELS_SQL} SELECT idx, greatest(0, least(255, r + ((91881 * (b - 128) + 32768) >> 16))) AS red, greatest(0, least(255, r + ((-22554 * (g - 128) - 46802 * (b - 128) + 32768) >> 16))) AS green,
+greatest(0, least(255, r + ((116130 * (g - 128) + 32768) >> 16))) AS blue FROM pixels""")
+def ycbcr_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.ycbcr_to_rgb(F.col("r"), F.col("g"), F.col("b"))
+    return T.pixels(spark, sf_dir).select("idx", c["r"].alias("red"), c["g"].alias("green"), c["b"].alias("blue"))
+
+
+@query(f"""WITH {T.PIXELS_SQL} SELECT idx, (19595 * r + 38470 * g + 7471 * b + 32768) >> 16 AS y, (-11059 * r - 21709 * g + 32768 * b + 8421375) >> 16 AS cb, (32768 * r - 27439 * g - 5329 * b + 8421375) >> 16 AS cr,
+(77 * r + 150 * g + 29 * b + 128) >> 8 AS luma FROM pixels""")
+def rgb_to_ycbcr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, g, b = map(F.col, "rgb")
+    c = P.rgb_to_ycbcr(r, g, b)
+    return T.pixels(spark, sf_dir).select("idx", c["y"].alias("y"), c["cb"].alias("cb"), c["cr"].alias("cr"), P.luma(r, g, b).alias("luma"))
+
+
+@query(f"""WITH {T.PIXELS_SQL}, t AS (SELECT *, (r + 2 * g + b) >> 2 AS y, b - g AS cb, r - g AS cr FROM pixels) SELECT idx, y, cb, cr, r AS red, g AS green, b AS blue FROM t""")
+def rct_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.pixels(spark, sf_dir).select("idx", P.rct(*map(F.col, "rgb")).alias("t")).select("idx", "t.*")
+    i = P.rct_inverse(F.col("y"), F.col("cb"), F.col("cr"))
+    return t.select("idx", "y", "cb", "cr", i["r"].alias("red"), i["g"].alias("green"), i["b"].alias("blue"))
+
+
+@query(f"""WITH {T.PIXELS_SQL}, v AS (SELECT idx, r - g AS v FROM pixels) SELECT idx, CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END AS category,
+CAST(CASE WHEN v >= 0 THEN v ELSE v + (1 << length(bin(abs(v)))) - 1 END AS BIGINT) AS bits FROM v""")
+def magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("r") - F.col("g")
+    return T.pixels(spark, sf_dir).select("idx", P.magnitude_category(v).alias("category"), P.magnitude_bits(v).alias("bits"))
+
+
+@query("""SELECT q.n_nationkey * 4 + 1 AS quality, v AS base, greatest(1, least(255, (v * (CASE WHEN greatest(1, least(100, q.n_nationkey * 4 + 1)) < 50 THEN 5000 // (q.n_nationkey * 4 + 1) ELSE 200 - 2 * (q.n_nationkey * 4 + 1) END) + 50) // 100)) AS scaled
+FROM nation q, range(1, 122) t(v)""")
+def quant_table_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every base value at the nations' qualities; the values come from a sequence of 121, no join."""
+    q = T.table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 4 + 1).alias("quality"))
+    return q.select("quality", F.explode(F.sequence(F.lit(1), F.lit(121))).alias("base")).select("quality", "base", P.scaled_quant(F.col("base"), F.col("quality")).alias("scaled"))
+
+
+@query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 128) AS INT)) AS v FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, k, CASE WHEN k = 0 THEN v[1] WHEN k = 2 * len(v) - 1 THEN v[len(v)] WHEN k % 2 = 0 THEN (3 * v[k // 2 + 1] + v[k // 2] + 1) >> 2 ELSE (3 * v[k // 2 + 1] + v[k // 2 + 2] + 2) >> 2 END AS sample
+FROM s, unnest(generate_series(0, 2 * len(v) - 1)) u(k)""")
+def upsample_h2v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda e: F.floor(e.cast("double") * 128).cast("int"))
+    rows = T.table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", F.explode(F.array(v)).alias("v"))
+    return rows.select("vec_id", F.posexplode(P.upsample_h2v1(F.col("v"))).alias("k", "sample"))
+
+
+# ------------------------------------------------------------------ batches
+
+
+@query(f"""WITH {T.REQUESTS_SQL}, j AS (SELECT l_suppkey AS batch, idx, CASE WHEN x + w > 4096 THEN 'InvalidRegion' END AS error FROM requests)
+SELECT batch, count(*) AS jobs, min(idx) FILTER (WHERE error IS NOT NULL) AS error_idx, min(error) AS error, CAST(CASE WHEN count(*) <= 1 THEN 1 ELSE least(greatest(8, 1), count(*)) END AS BIGINT) AS workers FROM j GROUP BY batch""")
+def batch_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = T.requests(spark, sf_dir).select(F.col("l_suppkey").alias("batch"), "idx", F.when(F.col("x") + F.col("w") > 4096, "InvalidRegion").alias("error"))
+    return batches.first_error(r, "batch", "idx", "error").withColumn("workers", batches.worker_count(F.col("jobs"), F.lit(None).cast("long"), F.lit(8).cast("long")))
+
+
+@query(f"""WITH {T.REQUESTS_SQL} SELECT w, h, denom, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS requests FROM requests GROUP BY w, h, denom""")
+def batch_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.groups(T.requests(spark, sf_dir), ["w", "h", "denom"], "idx")
+
+
+@query(f"""WITH {T.REQUESTS_SQL}, k AS (SELECT idx, x % 64 AS x, y % 64 AS y, w, denom FROM requests) SELECT idx, x, y, w, denom, min(idx) OVER (PARTITION BY x, y, w, denom) AS source_idx FROM k""")
+def request_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = T.requests(spark, sf_dir).select("idx", (F.col("x") % 64).alias("x"), (F.col("y") % 64).alias("y"), "w", "denom")
+    return batches.mark_repeats(k, ["x", "y", "w", "denom"], "idx")
+
+
+@query("""WITH t AS (SELECT user_id AS stream, event_id AS target FROM events), c AS (SELECT user_id AS stream, event_id AS at FROM events WHERE event_id % 16 = 0)
+SELECT t.stream, t.target, (SELECT max(c.at) FROM c WHERE c.stream = t.stream AND c.at <= t.target) AS checkpoint FROM t""")
+def checkpoint_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.table(spark, sf_dir, "events")
+    return batches.checkpoint_at(e.select(F.col("user_id").alias("stream"), F.col("event_id").alias("target")), e.filter("event_id % 16 = 0").select(F.col("user_id").alias("stream"), F.col("event_id").alias("at")), "stream", "target", "at")
+
+
+# ------------------------------------------------------------------ viewport
+
+
+@query(f"""WITH {T.REQUESTS_SQL} SELECT l_orderkey AS viewport, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, CAST(sum(w * h) AS BIGINT) AS area, count(*) AS tiles FROM requests GROUP BY l_orderkey""")
+def viewport_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewport.bounds(T.requests(spark, sf_dir).withColumnRenamed("l_orderkey", "viewport"))
+
+
+@query(f"""WITH {T.REQUESTS_SQL} SELECT a.l_orderkey AS viewport, a.idx AS a, b.idx AS b FROM requests a JOIN requests b ON a.l_orderkey = b.l_orderkey AND a.idx < b.idx WHERE a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h""")
+def viewport_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewport.overlaps(T.requests(spark, sf_dir).withColumnRenamed("l_orderkey", "viewport"))
+
+
+# ------------------------------------------------------------------ reports
+
+_RUNS = "runs AS (SELECT event_type AS op, user_id % 3 AS path, CAST(floor(value * 100) AS BIGINT) AS ns, event_id FROM events WHERE value IS NOT NULL)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "events").filter("value is not null").select(F.col("event_type").alias("op"), (F.col("user_id") % 3).alias("path"), F.floor(F.col("value") * 100).cast("long").alias("ns"), "event_id")
+
+
+@query(f"WITH {_RUNS} SELECT op, path, count(*) AS count, CAST(sum(ns) AS BIGINT) AS total, CAST(floor(sum(ns) / count(*)) AS BIGINT) AS avg FROM runs GROUP BY op, path")
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary(_runs(spark, sf_dir), ["op", "path"], "ns")
+
+
+@query(f"WITH {_RUNS}, r AS (SELECT op, path, ns, row_number() OVER (PARTITION BY op, path ORDER BY ns) AS r, count(*) OVER (PARTITION BY op, path) AS n FROM runs) SELECT op, path, ns AS median, n FROM r WHERE r = n // 2 + 1")
+def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.upper_median(_runs(spark, sf_dir), ["op", "path"], "ns")
+
+
+@query(f"""WITH {_RUNS}, b AS (SELECT op || '/' || path AS id, CAST(sum(ns) // count(*) AS BIGINT) AS m FROM runs WHERE event_id % 2 = 0 GROUP BY op, path),
+c AS (SELECT op || '/' || path AS id, CAST(sum(ns) // count(*) AS BIGINT) AS m FROM runs WHERE event_id % 2 = 1 AND path < 2 GROUP BY op, path)
+SELECT b.id, b.m AS baseline, c.m AS current, c.m - b.m AS delta, NOT contains(b.id, 'click') AS enforced, c.m IS NULL AND NOT contains(b.id, 'click') AS missing,
+coalesce(NOT contains(b.id, 'click') AND c.m - b.m > 100 AND (c.m - b.m) * 10 > b.m, false) AS regressed FROM b LEFT JOIN c ON b.id = c.id""")
+def perf_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(rows: DataFrame) -> DataFrame:
+        s = reports.summary(rows, ["op", "path"], "ns")
+        return s.select(F.concat_ws("/", "op", F.col("path").cast("string")).alias("id"), F.col("avg").alias("median"), F.col("avg").alias("lower"), F.col("avg").alias("upper"))
+
+    r = _runs(spark, sf_dir)
+    return reports.regression(side(r.filter("event_id % 2 = 0")), side(r.filter("event_id % 2 = 1 and path < 2")), ~F.contains(F.col("b.id"), F.lit("click")))
+
+
+@query(f"""WITH {_RUNS}, p AS (SELECT event_id // 2 AS input, op, max(ns) FILTER (WHERE event_id % 2 = 0) AS own, max(ns) FILTER (WHERE event_id % 2 = 1) AS other FROM runs GROUP BY ALL),
+l AS (SELECT op, CASE WHEN abs(own - other) * 100 <= greatest(own, other) THEN 'tie' WHEN own < other THEN 'win' ELSE 'loss' END AS label FROM p WHERE own IS NOT NULL AND other IS NOT NULL)
+SELECT op, count(*) FILTER (WHERE label = 'win') AS wins, count(*) FILTER (WHERE label = 'loss') AS losses, count(*) FILTER (WHERE label = 'tie') AS ties FROM l GROUP BY op""")
+def win_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _runs(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 2).alias("input"), "op").agg(F.max(F.when(F.col("event_id") % 2 == 0, F.col("ns"))).alias("own"), F.max(F.when(F.col("event_id") % 2 == 1, F.col("ns"))).alias("other"))
+    label = reports.compare(F.col("own"), F.col("other"))
+    return p.filter("own is not null and other is not null").groupBy("op").agg(*[F.count_if(label == k).alias(n) for k, n in (("win", "wins"), ("loss", "losses"), ("tie", "ties"))])
+
+
+# ------------------------------------------------------------------ packet orders
+
+_GRID = "grid AS (SELECT layer, res, comp, precinct, (precinct % 4) * (64 >> res) AS x, (precinct // 4) * (64 >> res) AS y FROM range(3) a(layer), range(4) b(res), range(3) c(comp), range(8) d(precinct))"
+
+
+def _packet(name: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return packets.ordered(packets.grid(spark, 3, 4, 3, 8), name)
+
+    f.__name__ = f"packet_order_{name}"
+    query(f"WITH {_GRID} SELECT layer, res, comp, precinct, row_number() OVER (ORDER BY {', '.join(packets.ORDERS[name])}) AS place FROM grid")(f)
+
+
+for _name in packets.ORDERS:
+    _packet(_name)
+
+
+# ------------------------------------------------------------------ containers and codecs
+
+
+def _round_trip(codec: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = T.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+        # every fourth bound is a byte short
+        bound = F.octet_length("text") - F.when(F.col("doc_id") % 4 == 3, 1).otherwise(0)
+        packed = containers.compress(docs.withColumn("bound", F.greatest(bound, F.lit(0)).cast("long")), codec, "text").drop("text")
+        out = containers.decompress(packed)
+        return out.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("digest"), "error", "required")
+
+    f.__name__ = f"{codec}_round_trip"
+    query("""WITH d AS (SELECT doc_id, strlen(text) AS n, text, doc_id % 4 = 3 AND strlen(text) > 0 AS short FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN NOT short THEN CAST(n AS BIGINT) END AS n_bytes, CASE WHEN NOT short THEN sha256(text) END AS digest, CASE WHEN short THEN 'too_small' END AS error, CASE WHEN short THEN CAST(n AS BIGINT) END AS required FROM d""")(f)
+
+
+for _codec in containers.CODECS:
+    _round_trip(_codec)
+
+
+@query("""SELECT vec_id, 64 AS width, 1 + vec_id % 3 AS height, 1 AS components, 8 AS bit_depth, 'Baseline8' AS sof, 'Gray' AS colorspace, CAST(NULL AS VARCHAR) AS error, true AS close FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64""")
+def jpeg_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey tiles from vectors: encoded at quality 95, inspected from the header, decoded and compared."""
+    return jpeg.round_trip(T.table(spark, sf_dir, "embeddings").filter("embedding is not null and size(embedding) = 64"))
