@@ -29,14 +29,14 @@ from .common import materialise, mix, release, row_keyed, shingle_sets, unkeyed,
 from .components import components
 
 #: Minwise coordinates: of the sketch that rules pairs out, and those of them that trees branch by.
-COORDS, BRANCHING = 128, 64
+COORDS, BRANCHING = 256, 64
 TREES = 12
 #: Nodes of at most so many documents are compared exhaustively.
-SMALL = 256
+SMALL = 1024
 #: Depth of the first nodes, and levels between one look at the nodes and the next.
 START = STEP = 2
-#: Pairs whose estimated similarity is this much below the threshold aren't confirmed; nearly five standard errors.
-MARGIN = 0.17
+#: Pairs whose estimated similarity is this much below the threshold aren't confirmed; over four standard errors.
+MARGIN = 0.11
 
 _rng = np.random.default_rng(0x5EED)
 _A = (_rng.integers(0, 1 << 32, COORDS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -130,12 +130,14 @@ def _pairs(least: float):
         def flush():
             if held:
                 sig = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, COORDS)
+                roots = np.array([h[2] for h in held])
                 for i in range(1, len(held)):
-                    est = (sig[:i] == sig[i]).mean(1)
-                    for j in np.flatnonzero(est >= least):
-                        if held[j][2] != held[i][2]:
-                            out_a.append(held[i][0])
-                            out_b.append(held[j][0])
+                    other = np.flatnonzero(roots[:i] != roots[i])
+                    if len(other):
+                        same = np.count_nonzero(sig[other] == sig[i], axis=1)
+                        near = other[same >= least * COORDS]
+                        out_a.extend([held[i][0]] * len(near))
+                        out_b.extend(held[j][0] for j in near)
                 held.clear()
 
         for b in batches:
