@@ -32,7 +32,7 @@ from .components import components
 COORDS, BRANCHING = 256, 64
 TREES = 12
 #: Nodes of at most so many documents are compared exhaustively.
-SMALL = 1024
+SMALL = 4096
 #: Depth of the first nodes, and levels between one look at the nodes and the next.
 START = STEP = 2
 #: Pairs whose estimated similarity is this much below the threshold aren't confirmed; over four standard errors.
