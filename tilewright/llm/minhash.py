@@ -7,7 +7,8 @@ minwise coordinates, and each token found there leads to a child. Because the ch
 the path alone, a document finds all its nodes without looking at others. Nodes that hold one
 document end there. In every other node, all documents are compared with the node's smallest
 one; then, in nodes that still hold more than one component, small ones are compared exhaustively
-and large ones branch again. Independent trees repeat this.
+and large ones branch again. Independent trees repeat this; a pair that meets in several small
+nodes is compared in one of them.
 
 Signatures only rule pairs out, with a margin of many standard errors; each link is confirmed on
 the full sets, recomputed from the texts. A pair at the threshold survives a branching with
@@ -29,14 +30,14 @@ from .common import materialise, mix, release, row_keyed, shingle_sets, unkeyed,
 from .components import components
 
 #: Minwise coordinates: of the sketch that rules pairs out, and those of them that trees branch by.
-COORDS, BRANCHING = 256, 64
+COORDS, BRANCHING = 512, 64
 TREES = 12
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 4096
 #: Depth of the first nodes, and levels between one look at the nodes and the next.
 START = STEP = 2
 #: Pairs whose estimated similarity is this much below the threshold aren't confirmed; over four standard errors.
-MARGIN = 0.11
+MARGIN = 0.08
 
 _rng = np.random.default_rng(0x5EED)
 _A = (_rng.integers(0, 1 << 32, COORDS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -115,10 +116,11 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(least: float):
-    """Rows (node, _k, low, root, lead, n) sorted by node and _k -> candidate pairs (a, b).
+    """Rows (node, _k, low, root, nodes) sorted by node and _k -> candidate pairs (a, b).
 
-    Each row is compared with its node's lead; in a node of at most SMALL rows, every two rows of
-    different components are. At most SMALL rows are held.
+    In a node of at most SMALL rows, every two rows of different components are compared, but for
+    those that meet in a node with a smaller number, too: they are compared there. ``nodes`` are
+    the row's nodes that this holds for. At most SMALL rows are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,21 +133,28 @@ def _pairs(least: float):
             if held:
                 sig = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, COORDS)
                 roots = np.array([h[2] for h in held])
-                for i in range(1, len(held)):
-                    other = np.flatnonzero(roots[:i] != roots[i])
+                met: dict[int, list[int]] = {}
+                for i, h in enumerate(held):
+                    apart = roots[:i] != roots[i]
+                    for other in h[3]:
+                        if other < node:
+                            rows = met.setdefault(other, [])
+                            apart[rows] = False
+                            rows.append(i)
+                    other = np.flatnonzero(apart)
                     if len(other):
                         same = np.count_nonzero(sig[other] == sig[i], axis=1)
                         near = other[same >= least * COORDS]
-                        out_a.extend([held[i][0]] * len(near))
+                        out_a.extend([h[0]] * len(near))
                         out_b.extend(held[j][0] for j in near)
                 held.clear()
 
         for b in batches:
-            for nd, k, low, root in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for nd, k, low, root, nodes in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if nd != node:
                     flush()
                     node = nd
-                held.append((k, low, root))
+                held.append((k, low, root, nodes))
             if len(out_a) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
                 out_a, out_b = [], []
@@ -243,6 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if not level.limit(1).count():
             break
         small = level.filter(F.col("c") <= SMALL).select("node", "_k", "low", "root")
+        small = small.join(small.groupBy("_k").agg(F.collect_list("node").alias("nodes")), "_k").select("node", "_k", "low", "root", "nodes")
         small = small.repartition("node").sortWithinPartitions("node", "_k").mapInArrow(_pairs(least), "a long, b long")
         large = level.filter(F.col("c") > SMALL)
         more = materialise(confirmed(small.union(with_leads(large.select("node", "_k", "lead")))))
