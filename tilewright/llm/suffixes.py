@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import doc_groups, materialise, mix, powers, release, row_keyed, unkeyed, utf8
 
 LENGTH, GRAM = 100, 32
-_BUFFER = 1 << 21
+_BUFFER = 1 << 19
 
 
 def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
