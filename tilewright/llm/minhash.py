@@ -48,8 +48,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     """The minwise values of a set of hashes, one of 32 bits per coordinate."""
     out = np.full(COORDS, 0xFFFFFFFF, np.uint32)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 4096):
-        np.minimum(out, (x[i : i + 4096, None] * _A + _B).min(0), out=out)
+    rows = np.empty((min(len(x), 128), COORDS), np.uint32)  # stays in the processor's cache
+    for i in range(0, len(x), 128):
+        part = rows[: len(x) - i]
+        np.multiply(x[i : i + 128, None], _A, out=part)
+        np.add(part, _B, out=part)
+        np.minimum(out, part.min(0), out=out)
     return out
 
 
