@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import pixels as P
-from .operators import batches, containers, jpeg, packets, passthrough, reports, viewport
+from .functions import rules, wavelet
+from .operators import batches, codestream, containers, jpeg, packets, passthrough, reports, viewport
 from .plans import tiles as T
+from .sources import frames
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -258,6 +260,118 @@ for _codec in containers.CODECS:
     _round_trip(_codec)
 
 
+@query("""WITH t AS (SELECT p_partkey AS idx, p_partkey % 256 AS y, (p_partkey * 7) % 256 - 128 AS b, (p_partkey * 13) % 256 - 128 AS r, p_partkey % 30 AS x0, p_partkey % 16 AS y0, 1 + p_partkey % 10 AS w0, 1 + p_partkey % 8 AS h0, CAST(1 << (p_partkey % 4) AS BIGINT) AS d FROM part),
+u AS (SELECT idx, x0 // d AS x, y0 // d AS y, (x0 + w0 + d - 1) // d - x0 // d AS w, (y0 + h0 + d - 1) // d - y0 // d AS h, greatest(0, least(255, y + ((91881 * r + 32768) >> 16))) AS red,
+greatest(0, least(255, y + ((-22554 * b - 46802 * r + 32768) >> 16))) AS green, greatest(0, least(255, y + ((116130 * b + 32768) >> 16))) AS blue FROM t)
+SELECT idx, x, y, w, h, w * h * 3 AS n_bytes, lpad(hex(red), 2, '0') || lpad(hex(green), 2, '0') || lpad(hex(blue), 2, '0') AS first, lpad(hex(red), 2, '0') || lpad(hex(green), 2, '0') || lpad(hex(blue), 2, '0') AS last, CAST(NULL AS VARCHAR) AS error FROM u""")
+def jpeg_region_scaled_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of 4:2:0 tiles of one colour at all four sizes."""
+    k = F.col("p_partkey")
+    p = T.table(spark, sf_dir, "part").select(k.alias("idx"), (k % 256).alias("luma"), (k * 7 % 256).alias("cb"), (k * 13 % 256).alias("cr"))
+    tiles = jpeg.flat_tiles(p, 40, 24)
+    i = F.col("idx")
+    jobs = tiles.select("idx", "payload", (i % 30).alias("x"), (i % 16).alias("y"), (1 + i % 10).alias("w"), (1 + i % 8).alias("h"), F.pow(F.lit(2), i % 4).cast("long").alias("denom"))
+    out = jpeg.decode_jobs(jobs)
+    return out.select("idx", "x", "y", "w", "h", F.octet_length("pixels").cast("long").alias("n_bytes"), F.hex(F.substring("pixels", 1, 3)).alias("first"), F.hex(F.substring("pixels", -3, 3)).alias("last"), "error")
+
+
+# ------------------------------------------------------------------ codestream headers and encapsulated frames
+
+
+def _j2k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("tile")
+    return T.headers(spark, sf_dir).select("tile", "width", F.greatest("height", F.lit(1)).alias("height"), "components", "bit_depth", F.lit(256).alias("size"), (k % 6).cast("int").alias("levels"), (k % 2 == 0).alias("reversible"), ((k % 3 == 0) & (F.col("components") == 3)).alias("mct"), (k % 5 == 0).alias("ht"), (k % 7 == 0).alias("boxed"))
+
+
+@query(f"""WITH {T.HEADERS_SQL} SELECT tile AS id, 'J2k' AS codec, width, greatest(height, 1) AS height, components, bit_depth, (width + 255) // 256 AS tiles_x, (greatest(height, 1) + 255) // 256 AS tiles_y, CAST(tile % 6 + 1 AS INT) AS resolution_levels,
+CASE WHEN tile % 7 = 0 THEN CASE WHEN components = 1 THEN 'SGray' ELSE 'SRgb' END WHEN components = 1 THEN 'SGray' WHEN tile % 3 <> 0 THEN 'Rgb' WHEN tile % 2 = 0 THEN 'Rct' ELSE 'Ict' END AS colorspace,
+CASE WHEN tile % 5 = 0 THEN 'Ht' ELSE '' END || 'Jpeg2000' || CASE WHEN tile % 2 = 0 THEN 'Lossless' ELSE '' END AS transfer_syntax, CASE WHEN tile % 7 = 0 THEN 'Jp2File' ELSE 'Codestream' END AS payload_kind, CAST(NULL AS VARCHAR) AS error FROM headers""")
+def j2k_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codestreams and boxed files written for the tile headers, and read back."""
+    tiles = codestream.write_tiles(_j2k(spark, sf_dir)).withColumn("codec", frames.sniff(F.col("payload")))
+    facts = codestream.inspect_tiles(tiles, "tile")
+    return tiles.select("tile", "codec").join(facts, F.col("tile") == F.col("id")).drop("tile")
+
+
+@query("""WITH d AS (SELECT doc_id AS id, text, strlen(text) AS n FROM documents WHERE text IS NOT NULL), f AS (SELECT id, CAST(0 AS INT) AS frame, n, sha256(text) AS digest FROM d UNION ALL SELECT id, CAST(1 AS INT), 4, sha256('tail') FROM d)
+SELECT id, frame, CAST(n + n % 2 AS BIGINT) AS n_bytes, digest, CAST(NULL AS VARCHAR) AS error FROM f""")
+def dicom_frame_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames a file, cut into fragments; the digest leaves out the pad byte."""
+    docs = T.table(spark, sf_dir, "documents").filter("text is not null")
+    own = docs.select(F.col("doc_id").alias("_d"), F.octet_length("text").alias("_n"))
+    got = frames.dicom_frames(frames.encapsulated(docs, "doc_id", ["text", F.lit("tail")]), "id")
+    data = F.when(F.col("frame") == 0, F.substring("payload", F.lit(1), F.col("_n"))).otherwise(F.col("payload"))
+    return got.join(own, F.col("id") == F.col("_d")).select("id", "frame", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2(data, 256).alias("digest"), "error")
+
+
+# ------------------------------------------------------------------ wavelets and codec rules
+
+_ROWS = "s AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 128) AS INT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64)"
+
+
+def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda e: F.floor(e.cast("double") * 128).cast("int"))
+    return T.table(spark, sf_dir, "embeddings").filter("embedding is not null and size(embedding) = 64").select("vec_id", v.alias("v"))
+
+
+@query(f"""WITH {_ROWS}, h AS (SELECT vec_id, i, v[2 * i + 1] AS e, v[2 * i + 2] - ((v[2 * i + 1] + v[2 * least(i + 1, 31) + 1]) >> 1) AS d FROM s, range(32) t(i))
+SELECT vec_id, CAST(i AS INT) AS i, e + ((lag(d, 1, d) OVER (PARTITION BY vec_id ORDER BY i) + d + 2) >> 2) AS low, d AS high FROM h""")
+def wavelet_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wavelet.forward(_sample_rows(spark, sf_dir), "v")
+    return rows.select("vec_id", F.posexplode(F.arrays_zip("low", "high")).alias("i", "z")).select("vec_id", "i", "z.low", "z.high")
+
+
+@query(f"""WITH {_ROWS} SELECT vec_id, CAST(i AS INT) AS i, v[i + 1] AS sample FROM s, range(63) t(i)""")
+def wavelet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an odd length, forwards and back."""
+    rows = wavelet.forward(_sample_rows(spark, sf_dir).select("vec_id", F.slice("v", 1, 63).alias("v")), "v")
+    return wavelet.inverse(rows.select("vec_id", "low", "high")).select("vec_id", F.posexplode("samples").alias("i", "sample"))
+
+
+@query(f"""WITH {T.HEADERS_SQL}, m AS (SELECT *, least(width, height) AS side FROM headers) SELECT tile, CASE WHEN side < 64 THEN 0 ELSE 1 END AS lrcp,
+CASE WHEN side <= 64 THEN 0 ELSE length(bin((side + 63) // 64 - 1)) END AS rpcl, CASE WHEN tile % 9 = 8 THEN 1 WHEN side < 64 THEN 0 ELSE least(tile % 9, length(bin(side)) - 1) END AS capped FROM m WHERE side >= 64 OR tile % 9 <> 8""")
+def level_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = T.headers(spark, sf_dir).filter("least(width, height) >= 64 or tile % 9 <> 8")
+    w, t, asked = F.col("width"), F.col("height"), F.when(F.col("tile") % 9 != 8, F.col("tile") % 9)
+    return h.select("tile", rules.lrcp_levels(w, t).alias("lrcp"), rules.rpcl_levels(w, t).alias("rpcl"), rules.capped_levels(w, t, asked, rules.lrcp_levels(w, t)).alias("capped"))
+
+
+@query(f"""WITH {T.HEADERS_SQL}, m AS (SELECT tile, ((width + 8 * max_h - 1) // (8 * max_h)) * ((height + 8 * max_v - 1) // (8 * max_v)) AS mcus, CASE WHEN components = 1 THEN max_h * max_v ELSE max_h * max_v + 2 END AS blocks, tile % 9 AS r FROM headers WHERE components = 3)
+SELECT tile, CAST(mcus * blocks * 512 + CASE WHEN r > 0 THEN (greatest(mcus - 1, 0) // r) * 2 ELSE 0 END + 16 AS BIGINT) AS capacity FROM m""")
+def entropy_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = T.headers(spark, sf_dir).filter("components = 3")
+    kind = F.when(F.col("max_v") == 2, "Ybr420").when(F.col("max_h") == 2, "Ybr422").otherwise("Ybr444")
+    mcus = G.mcu_geometry(*map(F.col, ("width", "height", "max_h", "max_v")))["count"]
+    return h.select("tile", rules.entropy_capacity(mcus, rules.blocks_per_mcu(kind), F.col("tile") % 9).alias("capacity"))
+
+
+@query(f"""WITH {T.REQUESTS_SQL} SELECT idx, (x + y + 1) // 2 - (x + 1) // 2 AS low, (x + y) // 2 - x // 2 AS high, x % 40 * 16 < y + h AND y < (x % 40 + 1) * 16 AS meets FROM requests""")
+def band_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, h = map(F.col, "xyh")
+    return T.requests(spark, sf_dir).select("idx", rules.band_index(x, y, True).alias("low"), rules.band_index(x, y, False).alias("high"), rules.row_meets(x % 40, F.lit(16), y, h).alias("meets"))
+
+
+@query("""WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS idx, l_extendedprice / 20 - 100 AS v, CASE WHEN l_linenumber % 2 = 0 THEN 8 ELSE 12 END AS depth, l_partkey AS raw, l_linenumber % 3 = 0 AS signed FROM lineitem), m AS (SELECT *, (1 << depth) - 1 AS most, raw % (1 << depth) AS low FROM s)
+SELECT idx, CASE WHEN depth = 8 THEN CAST(greatest(0, least(most, floor(v + 0.5))) AS INT) ELSE CAST(floor(greatest(0, least(most, floor(v + 0.5))) / CAST(most AS DOUBLE) * 255 + 0.5) AS INT) END AS byte, CASE WHEN signed AND low * 2 >= (1 << depth) THEN low - (1 << depth) ELSE low END AS native FROM m""")
+def sample_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    depth = F.when(n % 2 == 0, 8).otherwise(12)
+    return T.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + n).alias("idx"), rules.sample_to_byte(F.col("l_extendedprice") / 20 - 100, depth).alias("byte"), rules.native_sample(F.col("l_partkey"), depth, n % 3 == 0).alias("native"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS tile, ['Baseline8', 'Extended8', 'Extended12', 'Progressive8', 'Lossless'][p_partkey % 5 + 1] AS sof, CASE WHEN p_partkey % 3 = 0 THEN 12 ELSE 8 END AS depth, ['Rgb8', 'Rgba8', 'Gray8', 'Rgb16', 'Rgba16', 'Gray16'][p_partkey % 6 + 1] AS fmt,
+1 << (p_partkey % 4) AS denom, 1 + p_partkey % 2 AS mh, 1 + p_partkey // 2 % 2 AS mv, p_partkey % 3 AS r, ['JpegBaseline8', 'JpegExtended12', 'Jpeg2000Lossless', 'Jpeg2000', 'HtJpeg2000Lossless'][p_partkey % 5 + 1] AS syntax FROM part)
+SELECT tile, CASE WHEN sof = 'Baseline8' AND depth = 8 THEN 'JpegBaseline8' WHEN sof IN ('Extended8', 'Extended12') THEN 'JpegExtendedSequential' END AS copied, CASE WHEN fmt IN ('Rgb16', 'Rgba16', 'Gray16') THEN 'UnsupportedBitDepth' WHEN fmt = 'Rgba8' AND denom > 1 THEN 'DownscaleUnsupported' END AS error,
+CASE WHEN mh = 2 AND mv = 2 AND r = 0 THEN '420' WHEN mh = 1 AND mv = 1 THEN '444' WHEN mh = 2 AND mv = 1 THEN '422' END AS shape, contains(syntax, '2000') AS family, contains(syntax, 'Lossless') AS lossless FROM t""")
+def decoder_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    sof, depth, syntax = pick(["Baseline8", "Extended8", "Extended12", "Progressive8", "Lossless"]), F.when(k % 3 == 0, 12).otherwise(8), pick(T.SYNTAXES)
+    error = rules.format_error(pick(list(P.FORMATS)), F.pow(F.lit(2), k % 4))
+    shape = rules.shape(F.lit("YCbCr"), 1 + k % 2, 1 + F.floor(k / 2) % 2, k % 3)
+    return T.table(spark, sf_dir, "part").select(k.alias("tile"), rules.passthrough_syntax(sof, depth).alias("copied"), error.alias("error"), shape.alias("shape"), rules.is_jpeg2000(syntax).alias("family"), rules.is_lossless(syntax).alias("lossless"))
+
+
 @query("""SELECT vec_id, 64 AS width, 1 + vec_id % 3 AS height, 1 AS components, 8 AS bit_depth, 'Baseline8' AS sof, 'Gray' AS colorspace, CAST(NULL AS VARCHAR) AS error, true AS close FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64""")
 def jpeg_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey tiles from vectors: encoded at quality 95, inspected from the header, decoded and compared."""

@@ -118,20 +118,36 @@ def inspect(data: bytes) -> dict:
     return info
 
 
-def encode(planes: np.ndarray, quality: int = 90, restart: int = 0) -> bytes:
-    """planes: components x height x width of bytes, one component (grey) or three (YCbCr), all full size."""
+def _grid(info: dict) -> tuple[int, int, list[tuple[int, int]]]:
+    """(rows and columns of coded units, each component's blocks down and across in one)."""
+    factors = [(p[2], p[1]) for p in info["parts"]] if info["components"] > 1 else [(1, 1)]
+    v, h = (max(f[i] for f in factors) for i in (0, 1))
+    return -(-info["height"] // (8 * v)), -(-info["width"] // (8 * h)), factors
+
+
+def encode(planes: np.ndarray, quality: int = 90, restart: int = 0, sampling: tuple[int, int] = (1, 1)) -> bytes:
+    """planes: components x height x width of bytes, one component (grey) or three (YCbCr), all full size.
+
+    ``sampling`` says how many chroma samples across and down become one, by their mean.
+    """
     n, h, w = planes.shape
+    across, down = sampling if n > 1 else (1, 1)
     table = scaled_table(quality)
-    tall, wide = -(-h // 8), -(-w // 8)
-    padded = np.pad(planes, ((0, 0), (0, tall * 8 - h), (0, wide * 8 - w)), "edge").astype(np.float64) - 128
-    blocks = padded.reshape(n, tall, 8, wide, 8).transpose(1, 3, 0, 2, 4).reshape(-1, n, 8, 8)
-    coeff = (_DCT @ blocks @ _DCT.T).reshape(-1, n, 64) / table
-    coeff = np.trunc(coeff + np.copysign(0.5, coeff)).astype(np.int64)[:, :, ZIGZAG]
+    parts = [(i + 1, 1 if i else across, 1 if i else down, 0) for i in range(n)]
+    tall, wide, factors = _grid({"components": n, "height": h, "width": w, "parts": parts})
+    coeff = []
+    for plane, (v, hh) in zip(planes, factors, strict=True):
+        full = np.pad(plane, ((0, tall * 8 * down - h), (0, wide * 8 * across - w)), "edge").astype(np.float64)
+        small = full.reshape(tall * 8 * v, down // v, wide * 8 * hh, across // hh).mean((1, 3))
+        blocks = (np.floor(small + 0.5) - 128).reshape(tall * v, 8, wide * hh, 8).transpose(0, 2, 1, 3)
+        c = (_DCT @ blocks @ _DCT.T).reshape(tall * v, wide * hh, 64) / table
+        c = np.trunc(c + np.copysign(0.5, c)).astype(np.int64)[:, :, ZIGZAG]
+        coeff.append(c.reshape(tall, v, wide, hh, 64).transpose(0, 2, 1, 3, 4).reshape(tall * wide, v * hh, 64))
     dc, ac = _codes(DC_BITS, list(range(12))), _codes(AC_BITS, AC_VALUES)
     head = [b"\xff\xd8", b"\xff\xdb" + struct.pack(">HB", 67, 0) + table[ZIGZAG].astype(np.uint8).tobytes()]
     if restart:
         head.append(b"\xff\xdd" + struct.pack(">HH", 4, restart))
-    head.append(b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * n, 8, h, w, n) + b"".join(bytes([i + 1, 0x11, 0]) for i in range(n)))
+    head.append(b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * n, 8, h, w, n) + b"".join(bytes([i, hh << 4 | v, t]) for i, hh, v, t in parts))
     for kind, bits, values in ((0x00, DC_BITS, list(range(12))), (0x10, AC_BITS, AC_VALUES)):
         head.append(b"\xff\xc4" + struct.pack(">HB", 19 + len(values), kind) + bytes(bits) + bytes(values))
     head.append(b"\xff\xda" + struct.pack(">HB", 6 + 2 * n, n) + b"".join(bytes([i + 1, 0]) for i in range(n)) + b"\x00\x3f\x00")
@@ -151,13 +167,13 @@ def encode(planes: np.ndarray, quality: int = 90, restart: int = 0) -> bytes:
     def signed(v: int, length: int):
         put(v if v >= 0 else v + (1 << length) - 1, length)
 
-    for i, unit in enumerate(coeff.tolist()):
+    for i in range(tall * wide):
         if restart and i and i % restart == 0:
             if size:
                 put((1 << (8 - size)) - 1, 8 - size)
             out += bytes([255, 0xD0 + (i // restart - 1) % 8])
             last = [0] * n
-        for c, block in enumerate(unit):
+        for c, block in ((c, block) for c in range(n) for block in coeff[c][i].tolist()):
             d = block[0] - last[c]
             last[c] = block[0]
             k = abs(d).bit_length()
@@ -213,15 +229,43 @@ class _Bits:
         return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
 
-def decode(data: bytes) -> tuple[dict, np.ndarray]:
-    """(header, components x height x width) of a baseline tile whose components are all full size."""
+def restarts(data: bytes) -> list[tuple[int, int, int | None]]:
+    """(first coded unit, where its entropy-coded data starts, the marker before it) of each restart segment.
+
+    Markers have to come in their cyclic order. Without an interval there are none.
+    """
+    info = inspect(data)
+    if not info["restart"]:
+        return []
+    out, at = [(0, info["entropy"], None)], info["entropy"]
+    while at + 1 < len(data):
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            break
+        code = data[at + 1]
+        if code in (0, 0xFF):
+            at += 1 + (code == 0)
+        elif code == 0xD0 + (len(out) - 1) % 8:
+            at += 2
+            out.append((len(out) * info["restart"], at, code))
+        elif 0xD0 <= code <= 0xD7:
+            raise JpegError("unexpected_restart")
+        else:
+            break
+    return out
+
+
+def coefficients(data: bytes) -> tuple[dict, list[np.ndarray]]:
+    """(header, per component rows x columns x 64 of dequantised coefficients in natural order) of a sequential tile."""
     info = inspect(data)
     if info["sof"] not in ("Baseline8", "Extended8"):
         raise JpegError("not_implemented")
-    if any(p[1:3] != info["parts"][0][1:3] for p in info["parts"]):
+    if any(not 1 <= f <= 4 for p in info["parts"] for f in p[1:3]):
         raise JpegError("unsupported_sampling")
-    n, tall, wide = info["components"], -(-info["height"] // 8), -(-info["width"] // 8)
+    n, (tall, wide, factors) = info["components"], _grid(info)
     scan = info["scan"]
+    if len(scan) < 1 + 2 * n or scan[0] != n:
+        raise JpegError("unsupported_scan")
     tables = [(scan[2 + 2 * i] >> 4, scan[2 + 2 * i] & 15) for i in range(n)]
     by = {k: {c: s for s, c in _codes(*v).items()} for k, v in info["huffman"].items()}
     body = data[info["entropy"] :]
@@ -231,14 +275,20 @@ def decode(data: bytes) -> tuple[dict, np.ndarray]:
     cuts = [0, *(m + 2 for m in marks if m < end), end + 2]
     parts = [body[a : b - 2].replace(b"\xff\x00", b"\xff") for a, b in pairwise(cuts)]
     total, each = tall * wide, info["restart"] or tall * wide
-    coeff = np.zeros((total, n, 64), np.int64)
+    coeff = [np.zeros((total, v * h, 64), np.int64) for v, h in factors]
+    places = [(c, i) for c, (v, h) in enumerate(factors) for i in range(v * h)]
+    try:
+        codes = [(by[d], by[0x10 | a]) for d, a in tables]
+        quant = [info["quant"][p[3]] for p in info["parts"]]
+    except KeyError as e:
+        raise JpegError("missing_table") from e
     for p, part in enumerate(parts[: -(-total // each)]):
         bits, last = _Bits(part), [0] * n
         for u in range(p * each, min(total, (p + 1) * each)):
-            for c in range(n):
-                d, a = by[tables[c][0]], by[0x10 | tables[c][1]]
+            for c, i in places:
+                (d, a), block = codes[c], coeff[c][u, i]
                 last[c] += bits.signed(bits.symbol(d))
-                coeff[u, c, 0] = last[c]
+                block[0] = last[c]
                 k = 1
                 while k < 64:
                     s = bits.symbol(a)
@@ -248,16 +298,152 @@ def decode(data: bytes) -> tuple[dict, np.ndarray]:
                     if s & 15:
                         if k > 63:
                             raise JpegError("invalid_run")
-                        coeff[u, c, k] = bits.signed(s & 15)
+                        block[k] = bits.signed(s & 15)
                     k += 1
     if -(-total // each) > len(parts):
         raise JpegError("truncated")
-    quant = np.stack([info["quant"][p[3]] for p in info["parts"]])
-    natural = np.zeros((total, n, 64))
-    natural[:, :, ZIGZAG] = coeff * quant
-    blocks = _DCT.T @ natural.reshape(total, n, 8, 8) @ _DCT
-    out = blocks.reshape(tall, wide, n, 8, 8).transpose(2, 0, 3, 1, 4).reshape(n, tall * 8, wide * 8)
-    return info, np.clip(np.floor(out + 128.5), 0, 255).astype(np.uint8)[:, : info["height"], : info["width"]]
+    out = []
+    for c, q, (v, h) in zip(coeff, quant, factors, strict=True):
+        natural = np.zeros(c.shape)
+        natural[:, :, ZIGZAG] = c * q
+        out.append(natural.reshape(tall, wide, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(tall * v, wide * h, 64))
+    return info, out
+
+
+def _samples(blocks: np.ndarray, denom: int) -> np.ndarray:
+    """A component's plane from its blocks; a reduced size takes the low frequencies of each."""
+    k = 8 // denom
+    basis = np.array([[np.sqrt((1 if f == 0 else 2) / k) * np.cos((2 * x + 1) * f * np.pi / (2 * k)) for x in range(k)] for f in range(k)])
+    low = blocks.reshape(*blocks.shape[:2], 8, 8)[:, :, :k, :k] / denom
+    out = (basis.T @ low @ basis).transpose(0, 2, 1, 3).reshape(blocks.shape[0] * k, blocks.shape[1] * k)
+    return np.clip(np.floor(out + 128.5), 0, 255).astype(np.int64)
+
+
+def _wider(x: np.ndarray, shift: int, first: int, second: int) -> np.ndarray:
+    """Triangle filter to twice the width; rounding alternates between left and right samples."""
+    left, right = np.pad(x, ((0, 0), (1, 0)), "edge")[:, :-1], np.pad(x, ((0, 0), (0, 1)), "edge")[:, 1:]
+    out = np.empty((x.shape[0], 2 * x.shape[1]), np.int64)
+    out[:, ::2] = (3 * x + left + first) >> shift
+    out[:, 1::2] = (3 * x + right + second) >> shift
+    return out
+
+
+def upsample(plane: np.ndarray, across: int, down: int) -> np.ndarray:
+    """A chroma plane at full size: triangle filters for halves across or both ways, repeated samples otherwise."""
+    if (across, down) == (2, 1):
+        return _wider(plane, 2, 1, 2)
+    if (across, down) == (2, 2):
+        up, under = np.pad(plane, ((1, 0), (0, 0)), "edge")[:-1], np.pad(plane, ((0, 1), (0, 0)), "edge")[1:]
+        out = np.empty((2 * plane.shape[0], 2 * plane.shape[1]), np.int64)
+        out[::2], out[1::2] = _wider(3 * plane + up, 4, 8, 7), _wider(3 * plane + under, 4, 8, 7)
+        return out
+    return plane.repeat(down, 0).repeat(across, 1)
+
+
+def decode(data: bytes, denom: int = 1) -> tuple[dict, np.ndarray]:
+    """(header, components x height x width) of a sequential tile, at full size or reduced by 2, 4 or 8."""
+    if denom not in (1, 2, 4, 8):
+        raise JpegError("unsupported_scale")
+    info, blocks = coefficients(data)
+    _, _, factors = _grid(info)
+    v, h = (max(f[i] for f in factors) for i in (0, 1))
+    if any(v % a or h % b for a, b in factors):
+        raise JpegError("unsupported_sampling")
+    tall, wide = -(-info["height"] // denom), -(-info["width"] // denom)
+    planes = []
+    for c, (a, b) in zip(blocks, factors, strict=True):
+        own = _samples(c, denom)[: -(-tall * a // v), : -(-wide * b // h)]
+        planes.append(upsample(own, h // b, v // a)[:tall, :wide])
+    return info, np.stack(planes).astype(np.uint8)
+
+
+def to_rgb(planes: np.ndarray, colorspace: str) -> np.ndarray:
+    """height x width x 3; 16-bit fixed point, rounded to nearest, where the components are YCbCr."""
+    if colorspace == "Gray":
+        return planes[[0, 0, 0]].transpose(1, 2, 0)
+    if colorspace == "Rgb":
+        return planes.transpose(1, 2, 0)
+    if colorspace != "YCbCr":
+        raise JpegError("unsupported_colorspace")
+    y, b, r = planes.astype(np.int64)
+    b, r, half = b - 128, r - 128, 1 << 15
+    out = np.stack([y + ((91881 * r + half) >> 16), y + ((-22554 * b - 46802 * r + half) >> 16), y + ((116130 * b + half) >> 16)], -1)
+    return out.clip(0, 255).astype(np.uint8)
+
+
+def decode_pixels(data: bytes, fmt: str = "Rgb8", roi: tuple[int, int, int, int] | None = None, denom: int = 1, alpha: int = 255) -> tuple[tuple[int, int, int, int], np.ndarray]:
+    """(the decoded rectangle on the reduced grid, height x width x channels of bytes).
+
+    ``roi`` is (x, y, w, h) in source pixels; its reduced rectangle starts rounded down and ends
+    rounded up. Formats are Rgb8, Gray8 and, at full size, Rgba8.
+    """
+    if fmt not in ("Rgb8", "Gray8", "Rgba8"):
+        raise JpegError("unsupported_bit_depth")
+    if fmt == "Rgba8" and denom != 1:
+        raise JpegError("downscale_unsupported")
+    info = inspect(data)
+    x, y, w, h = roi or (0, 0, info["width"], info["height"])
+    if min(x, y, w, h) < 0 or x + w > info["width"] or y + h > info["height"]:
+        raise JpegError("invalid_region")
+    info, planes = decode(data, denom)
+    x0, y0 = x // denom, y // denom
+    x1, y1 = (-(-(x + w) // denom), -(-(y + h) // denom)) if w and h else (x0, y0)
+    part = planes[:, y0:y1, x0:x1]
+    if fmt == "Gray8" and info["colorspace"] in ("Gray", "YCbCr"):
+        out = part[0][..., None]
+    else:
+        out = to_rgb(part, info["colorspace"])
+        if fmt == "Gray8":
+            r, g, b = np.moveaxis(out.astype(np.int64), -1, 0)
+            out = ((77 * r + 150 * g + 29 * b + 128) >> 8)[..., None].astype(np.uint8)
+        elif fmt == "Rgba8":
+            out = np.concatenate([out, np.full((*out.shape[:2], 1), alpha, np.uint8)], -1)
+    return (x0, y0, x1 - x0, y1 - y0), np.ascontiguousarray(out)
+
+
+DECODED = "idx long, x long, y long, w long, h long, pixels binary, error string"
+
+
+def decode_jobs(jobs: DataFrame, fmt: str = "Rgb8") -> DataFrame:
+    """Jobs (idx, payload, x, y, w, h, denom) -> (idx, decoded rectangle, tight interleaved pixels, error).
+
+    A null x asks for the whole tile, a null denom for full size. Jobs are independent rows; idx
+    keeps their order, and a failed one has only its error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                roi = None if r["x"] is None else (r["x"], r["y"], r["w"], r["h"])
+                try:
+                    rect, out = decode_pixels(r["payload"] or b"", fmt, roi, r["denom"] or 1)
+                    rows.append((r["idx"], *rect, out.tobytes(), None))
+                except JpegError as e:
+                    rows.append((r["idx"], *(None,) * 5, str(e)))
+            kinds = [*[pa.int64()] * 5, pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in DECODED.split(", ")])
+
+    return jobs.select("idx", "payload", *(F.col(c).cast("long") for c in ("x", "y", "w", "h", "denom"))).mapInArrow(run, DECODED)
+
+
+def decode_rows(decoded: DataFrame, channels: int) -> DataFrame:
+    """Decoded tiles as one row of pixels each: (idx, y, row)."""
+    tall = F.col("h").cast("int")
+    wide = (F.col("w") * channels).cast("int")
+    return decoded.filter("h > 0 and w > 0").select("idx", F.explode(F.sequence(F.lit(0), tall - 1)).alias("y"), "pixels", wide.alias("_n")).select("idx", "y", F.substring("pixels", F.col("y") * F.col("_n") + 1, F.col("_n")).alias("row"))
+
+
+def flat_tiles(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """(idx, payload): 4:2:0 tiles of one colour from (idx, luma, cb, cr), at the finest quantiser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, *parts = (b.column(i).to_pylist() for i in range(4))
+            out = [encode(np.broadcast_to(np.array(p, np.uint8)[:, None, None], (3, height, width)), 100, 2, (2, 2)) for p in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["idx", "payload"])
+
+    return rows.select("idx", "luma", "cb", "cr").mapInArrow(run, "idx long, payload binary")
 
 
 HEADER = "width long, height long, components int, bit_depth int, sof string, colorspace string, restart long, error string"
