@@ -78,6 +78,24 @@ def unkeyed(result: DataFrame, ids: DataFrame | None, *key_cols: str) -> DataFra
     return result
 
 
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_row``, a long that no two rows share, so that results per row can be joined back.
+
+    With unique non-null ids ``_row`` is the id and nothing is written. Otherwise whole rows are
+    sorted as row_keyed does, by (id, text), nulls first, then by the other columns and their place
+    in the input, numbered in that order and written to the shared folder. The place also spreads
+    rows that are equal throughout over partitions.
+    """
+    key = F.col(id_col).cast("long")
+    repeated = docs.groupBy(key.alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or _id is null").limit(1).count()
+    if not repeated:
+        return docs.withColumn("_row", key)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = [key.asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in (text_col, *others, "_place"))]
+    ordered = docs.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(ordered.drop("_place").withColumn("_row", F.monotonically_increasing_id()))
+
+
 # ------------------------------------------------------------------ bytes and words
 
 _MASK = (1 << 64) - 1

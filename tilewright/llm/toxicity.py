@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import PUNCT, doc_groups, utf8, word_hashes
 
@@ -123,11 +124,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     return Model(w, t, values)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, severity (expected, 0 to K - 1), grade (a learned label value), toxic (severity in the upper half).
 
     A null or empty text, or one without words, has severity 0. Repeated rows and null ids are
-    scored one by one; an empty table gives no rows; other columns are ignored.
+    scored one by one; an empty table gives no rows; other columns are ignored, but for those of
+    ``carry``, which follow the row's own results.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.values))
 
@@ -136,6 +138,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             s = m.expected(*utf8(b.column(1)))
             grade = np.array(m.values)[np.rint(s).astype(int)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(grade, pa.int64()), pa.array(s > (len(m.values) - 1) / 2)], ["doc_id", "severity", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(grade, pa.int64()), pa.array(s > (len(m.values) - 1) / 2), *b.columns[2:]], ["doc_id", "severity", "grade", "toxic", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade long, toxic boolean")
+    schema = StructType.fromDDL("doc_id long, severity double, grade long, toxic boolean")
+    for c in carry:
+        schema = schema.add(c, docs.schema[c].dataType)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, schema)
