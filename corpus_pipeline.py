@@ -55,7 +55,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trained scores, sketches and tokenizers have no SQL; tests hold the stages against brute force.
+#: Trained scores, sketches and tokenizers have no SQL; tests/llm/test_pipeline_chain.py holds the stages and run() against brute force.
 ORACLE_SQL = None
 
 
