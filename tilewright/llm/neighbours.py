@@ -85,8 +85,9 @@ class Search:
                 low = near[:, i - s]
                 other = ids != self.ids[i]
                 if not np.isfinite(self.far[i]):  # a first threshold from the best estimates
-                    self._measure(i, np.flatnonzero(other)[np.argsort(low[other], kind="stable")[: self.k]], ids, x)
-                    other = other & ~np.isin(ids, self.found[i])
+                    first = np.flatnonzero(other)[np.argsort(low[other], kind="stable")[: self.k]]
+                    self._measure(i, first, ids, x)
+                    other[first] = False
                 self._measure(i, np.flatnonzero(other & (low <= self.far[i] ** 2 * (1 + 1e-9) + 1e-9)), ids, x)
 
     def _measure(self, i: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
