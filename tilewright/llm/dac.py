@@ -3,12 +3,12 @@
 Every id is cut into 8-bit chunks, least first. Level l holds the l-th chunks of all ids that have
 one, in order, and a bitmap that says which of them continue at the next level; a rank directory
 with the ones before each 512 bits gives an id's place there. So any id is read with one lookup
-per chunk, and no block is decoded for it.
+per chunk, and any document with one stretch per level; no block is decoded for it.
 
-File format: rows of Parquet in the shared folder, each with one segment as ``payload``: header
-``TWDA``, version, levels, documents, ids; then the document directory (row key, first id in the
-segment, null key marked by a flag), and per level its length, chunks, bitmap and directory, all
-little-endian.
+File format: rows of Parquet in the shared folder, neither compressed nor dictionary-coded, each
+with one segment as ``payload``: header ``TWDA``, version, levels, documents, ids; then the
+document directory (row key, first id in the segment), and per level its length, chunks, bitmap
+and directory, all little-endian. A segment holds no part of a document that begins in another.
 """
 
 from __future__ import annotations
@@ -68,18 +68,36 @@ class Segment:
             at += 8 + n + len(bits) + 4 * blocks
             self.levels.append((chunks, bits, ranks))
 
+    def _rank(self, level: int, i: int) -> int:
+        """How many of the level's first i ids go on at the next one."""
+        chunks, bits, ranks = self.levels[level]
+        block = min(i, len(chunks) - 1) // _RANK
+        whole = int(np.bitwise_count(bits[block * (_RANK // 8) : i >> 3]).sum())
+        return int(ranks[block]) + whole + (int(bits[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+
     def id(self, i: int) -> int:
         """The i-th id, by one lookup per level."""
         value = 0
-        for level, (chunks, bits, ranks) in enumerate(self.levels):
+        for level, (chunks, bits, _) in enumerate(self.levels):
             value |= int(chunks[i]) << (8 * level)
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // _RANK
-            before = bits[block * (_RANK // 8) : i >> 3]
-            i = int(ranks[block]) + int(np.bitwise_count(before).sum()) + int(bits[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
+            i = self._rank(level, i)
         return value
 
+    def stretch(self, a: int, b: int) -> np.ndarray:
+        """Ids a to b - 1, read from their own stretch of each level."""
+        out, at = np.zeros(b - a, "<u4"), np.arange(b - a)
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            if a == b:
+                break
+            out[at] |= chunks[a:b].astype("<u4") << np.uint32(8 * level)
+            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+            at = at[more]
+            a = self._rank(level, a)
+            b = a + len(at)
+        return out
+
     def all(self) -> np.ndarray:
         """All ids, level by level."""
         out = np.zeros(self.n, "<u4")
@@ -123,7 +141,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int, path: str,
     """Write all documents' ids in ascending id order (nulls first, ties by text) to ``path``; returns row_keyed()'s map."""
     rows, ids = row_keyed(docs, id_col, text_col)
     ordered = rows.repartitionByRange("_k").sortWithinPartitions("_k")
-    ordered.mapInArrow(_write(vocabulary_path, end_id), "part long, first long, n long, payload binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(_write(vocabulary_path, end_id), "part long, first long, n long, payload binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
     return ids
 
 
@@ -131,10 +149,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, offset, payload in zip(*(b.column(i) for i in range(3)), strict=True):
             s = Segment(payload.as_buffer())
-            ids = s.all()
             at = s.starts.astype(np.int64)
             to = np.append(at[1:], s.n)
-            crc = [zlib.crc32(ids[x:y]) for x, y in zip(at.tolist(), to.tolist(), strict=True)]
+            crc = [zlib.crc32(s.stretch(x, y)) for x, y in zip(at.tolist(), to.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(s.keys.copy()), pa.array(at + first.as_py() + offset.as_py()), pa.array(to - at), pa.array(crc, pa.int64())], ["_k", "start", "n_tokens", "ids_crc32"])
 
 

@@ -2,13 +2,15 @@
 
 Byte-pair merges never cross the pieces that the pre-tokenizer cuts, so a piece's ids are looked
 up once. Texts whose characters all lie in a range with long-settled Unicode classes are cut by an
-equal pattern here; any other text goes through the library as a whole. Strings of special tokens
-are ordinary text.
+equal pattern here; any other text, and any that may hold the string of an added token, goes
+through the library as a whole. Such strings become the added token's id, as is the library's
+rule; with ``special_as_text`` they are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -45,12 +47,15 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """ids(text) as the library gives them, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         spec = json.loads(self.library.to_str())
+        added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
+        # no text without the added tokens' common beginning, up to its first letter, holds one
+        self.mark = re.match(r"[\W\d_]*", os.path.commonprefix(added))[0] if added else None
         pre, model = json.dumps(spec["pre_tokenizer"]), spec["model"]
         self.cut, self.lower, self.piece = None, False, self._by_model
         if spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]:
@@ -82,7 +87,7 @@ class Encoder:
         for text in texts:
             if not text:
                 yield b""
-            elif self.cut is None or not _safe(text):
+            elif self.cut is None or (self.mark is not None and self.mark in text) or not _safe(text):
                 yield self._whole([text])[0]
             else:
                 pieces = (self.cut_ascii if text.isascii() else self.cut)(text.lower() if self.lower else text)
@@ -103,8 +108,6 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
     if path not in _encoders:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
     return _encoders[path]
