@@ -135,6 +135,29 @@ def test_codes():
     assert empty.n == 0 and len(empty.all()) == 0
 
 
+def test_stretches():
+    ids = np.random.default_rng(1).integers(0, 1 << 18, 5000).astype("<u4")
+    ids[::2] %= 200
+    s = dac.Segment(dac.encode(ids, np.array([5]), np.array([0])))
+    for a, b in ((0, 5000), (0, 0), (5000, 5000), (4999, 5000), (511, 1025), (512, 512), (7, 9)):
+        assert (s.stretch(a, b) == ids[a:b]).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys(name):
+    """Every character of the fast path between letters, spaces, digits and endings, and the strings of added tokens."""
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(tokens.vocabulary(name)), np.random.default_rng(2)
+    some = [a + c + b for c in tokens._SAFE for a, b in (("x", "y"), (" ", " "), ("1", "'s"))]
+    some += ["".join(rng.choice(tokens._SAFE, 12)) for _ in range(2000)]
+    some += ["a <|endoftext|> b", "<|ENDOFTEXT|>x", "<|startoftext|>", "<|", "a<|endoftext|"]
+    for special in (False, True):
+        lib.encode_special_tokens = special
+        for t, got in zip(some, tokens.Encoder(tokens.vocabulary(name), special).packed(some), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files(docs, odd):
     from tokenizers import Tokenizer
 
@@ -184,24 +207,108 @@ def test_elias_fano():
     for n, u in ((0, 9), (1, 9), (40, 64), (3000, 1 << 45)):
         x = np.unique(rng.integers(0, u, n).astype(np.uint64))
         q = np.concatenate([x, rng.integers(0, u, 50).astype(np.uint64)])
-        assert (lm.EliasFano(x, u).find(q) == np.where(np.isin(q, x), np.searchsorted(x, q), -1)).all()
+        f = lm.EliasFano.of(x, u)
+        assert (f.find(q) == np.where(np.isin(q, x), np.searchsorted(x, q), -1)).all()
+        assert (f.get(np.arange(len(x))) == x).all()
+    repeated = np.sort(rng.integers(0, 50, 400)).astype(np.uint64)
+    assert (lm.EliasFano.of(repeated, 51).get(np.arange(400)) == repeated).all()
+
+
+def test_trie():
+    rng = np.random.default_rng(6)
+    contexts = np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64))
+    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(40) | rng.integers(0, 500, 3000).astype(np.uint64))
+    counts = rng.integers(1, 9, len(keys))
+    totals = np.bincount((keys >> np.uint64(40)).astype(int), counts, len(contexts)).astype(np.int64)
+    trie = lm.Trie(bytes(lm.Trie.build(contexts, totals, keys, counts, 4.0).buffer))
+    asked = np.concatenate([contexts, [np.uint64(3)]])
+    of, successor = np.repeat(np.arange(len(asked)), 520), np.tile(np.arange(520), len(asked)).astype(np.uint64)
+    back, share = trie.look(asked, of, successor)
+    known = {int(k): c for k, c in zip(keys, counts, strict=True)}
+    want = [known.get((int(o) << 40) + int(x), 0) / (totals[o] + 4) if o < len(contexts) else 0 for o, x in zip(of, successor, strict=True)]
+    assert np.allclose(lm._VALUES[share], want, rtol=0.05) and ((share > 0) == (np.array(want) > 0)).all()
+    assert np.allclose(lm._VALUES[back[:-1]], 4 / (totals + 4), rtol=0.05) and back[-1] == 255
+
+
+def brute_scores(every, got, held):
+    learn = [w for i, w in every.items() if not held(i)]
+    pad = lambda w: [0, *w[:-1]]
+    c, two = Counter(x for w in learn for x in w), Counter(p for w in learn for p in zip(pad(w), w, strict=True))
+    c[0] = len(learn)
+    three = Counter(p for w in learn for p in zip(pad(w)[:-1], w, w[1:], strict=False))
+    n, v = sum(c.values()) - len(learn), len(c) - 1
+    for i, w in every.items():
+        low, p = np.array([(c[x] + 1) / (n + v + 1) for x in w]), []
+        for j, x in enumerate(w):
+            u = w[j - 1] if j else 0
+            q = (two[u, x] + 4 * low[j]) / (c[u] + 4)
+            if j:
+                t = w[j - 2] if j > 1 else 0
+                if two[t, u] >= 2:
+                    q = (three[t, u, x] + 4 * q) / (two[t, u] + 4)
+            p.append(q)
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, held(i))
+        assert abs(r.base_score - np.log10(low).sum()) < 1e-6 and abs(r.score - np.log10(p).sum()) < 0.04 * len(w)
 
 
-def test_scores(docs, odd):
-    got = {r.doc_id: r for r in lm.scores(docs).collect()}
+def test_scores(docs, odd, tmp_path):
     every = {i: [*words(t), None] for i, t in enumerate(texts())}
-    learn = [w for i, w in every.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    c, b = Counter(x for w in learn for x in w), Counter(p for w in learn for p in zip([0, *w[:-1]], w, strict=True))
-    left, kinds, n = Counter(x for w in learn for x in [0, *w[:-1]]), Counter(u for u, _ in b), sum(c.values())
-    for i, w in every.items():
-        low = np.array([(c[x] + 1) / (n + len(c) + 1) for x in w])
-        p = [max(b[u, x] - 0.75, 0) / left[u] + 0.75 * kinds[u] / left[u] * q if left[u] else q for u, x, q in zip([0, *w[:-1]], w, low, strict=True)]
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 7 == 2)
-        assert abs(r.base_score - np.log10(low).sum()) < 1e-6 and abs(r.score - np.log10(p).sum()) < 0.05 * len(w)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    brute_scores(every, {r.doc_id: r for r in lm.scores(docs, model_path=str(tmp_path / "model")).collect()}, held)
+    assert docs.sparkSession.read.parquet(str(tmp_path / "model")).count() == 2
     assert lm.scores(odd).count() == 6
 
 
+def test_scores_in_pieces(docs, spark, monkeypatch):
+    """Texts over several blocks, contexts in several pieces, many shards."""
+    for name, value in (("BLOCK", 600), ("BLOCK_TOKENS", 50), ("TEXT", 90), ("PIECE", 8)):
+        monkeypatch.setattr(lm, name, value)
+    names = ("BLOCK", "BLOCK_TOKENS", "TEXT", "PIECE")
+    values = [getattr(lm, x) for x in names]
+    inner = lm._blocks
+
+    def blocks(batches):
+        from tilewright.llm import lm as here
+
+        for x, y in zip(names, values, strict=True):
+            setattr(here, x, y)
+        yield from inner(batches)
+
+    monkeypatch.setattr(lm, "_blocks", blocks)
+    grams = lm._gram_messages
+
+    def messages(order, shards):
+        run = grams(order, shards)
+
+        def go(a, b):
+            from tilewright.llm import lm as here
+
+            here.PIECE = values[3]
+            return run(a, b)
+
+        return go
+
+    monkeypatch.setattr(lm, "_gram_messages", messages)
+    scored = lm._scores
+
+    def last(n, v):
+        run, schema = scored(n, v)
+
+        def go(a, b):
+            from tilewright.llm import lm as here
+
+            here.PIECE = values[3]
+            return run(a, b)
+
+        return go, schema
+
+    monkeypatch.setattr(lm, "_scores", last)
+    every = {i: [*words(t), None] for i, t in enumerate(texts())}
+    got = {r.doc_id: r for r in lm.scores(docs).collect()}
+    brute_scores(every, got, lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in langid._start(3, rng).items()}
