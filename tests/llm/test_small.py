@@ -217,15 +217,15 @@ def test_elias_fano():
 def test_trie():
     rng = np.random.default_rng(6)
     contexts = np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64))
-    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(40) | rng.integers(0, 500, 3000).astype(np.uint64))
+    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 500, 3000).astype(np.uint64))
     counts = rng.integers(1, 9, len(keys))
-    totals = np.bincount((keys >> np.uint64(40)).astype(int), counts, len(contexts)).astype(np.int64)
+    totals = np.bincount((keys >> np.uint64(32)).astype(int), counts, len(contexts)).astype(np.int64)
     trie = lm.Trie(bytes(lm.Trie.build(contexts, totals, keys, counts, 4.0).buffer))
     asked = np.concatenate([contexts, [np.uint64(3)]])
     of, successor = np.repeat(np.arange(len(asked)), 520), np.tile(np.arange(520), len(asked)).astype(np.uint64)
     back, share = trie.look(asked, of, successor)
     known = {int(k): c for k, c in zip(keys, counts, strict=True)}
-    want = [known.get((int(o) << 40) + int(x), 0) / (totals[o] + 4) if o < len(contexts) else 0 for o, x in zip(of, successor, strict=True)]
+    want = [known.get((int(o) << 32) + int(x), 0) / (totals[o] + 4) if o < len(contexts) else 0 for o, x in zip(of, successor, strict=True)]
     assert np.allclose(lm._VALUES[share], want, rtol=0.05) and ((share > 0) == (np.array(want) > 0)).all()
     assert np.allclose(lm._VALUES[back[:-1]], 4 / (totals + 4), rtol=0.05) and back[-1] == 255
 
@@ -262,7 +262,7 @@ def test_scores(docs, odd, tmp_path):
 
 def test_scores_in_pieces(docs, spark, monkeypatch):
     """Texts over several blocks, contexts in several pieces, many shards."""
-    for name, value in (("BLOCK", 600), ("BLOCK_TOKENS", 50), ("TEXT", 90), ("PIECE", 8)):
+    for name, value in (("BLOCK", 600), ("BLOCK_TOKENS", 50), ("TEXT", 90), ("PIECE", 8), ("SHARD", 100)):
         monkeypatch.setattr(lm, name, value)
     names = ("BLOCK", "BLOCK_TOKENS", "TEXT", "PIECE")
     values = [getattr(lm, x) for x in names]

@@ -15,8 +15,9 @@ their training counts; the shard adds them up, builds its trie, looks every n-gr
 in the same order. Contexts are dealt to shards by their hash; one that was counted more than
 PIECE times in the round before is dealt in as many pieces as its count holds that, by a hash of
 the successor, so no context's successors all meet in one task. Neither the counts nor the model
-ever have to fit one machine, and what is shuffled grows with the corpus. Within a shard, contexts
-and successors are 40-bit hashes, over a bounded number of contexts.
+ever have to fit one machine, and what is shuffled grows with the corpus. Within a shard, whose
+contexts are bounded in number, a context is a hash of 40 bits, and within a context, of at most
+about PIECE counts, a successor is one of 32; words as such are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ from pyspark.sql import functions as F
 from .common import PIECE as TEXT
 from .common import SPACE, materialise, mix, release, row_keyed, unkeyed, utf8, word_hashes
 
-#: Bytes of text, or tokens, after which a block is closed; and bytes of text a shard stands for.
-BLOCK, BLOCK_TOKENS = 8 << 20, 1 << 21
+#: Bytes of text, or tokens, after which a block is closed; and tokens that a shard stands for.
+BLOCK, BLOCK_TOKENS, SHARD = 8 << 20, 1 << 21, 1 << 20
 #: The prior's weight in counts, per order, and the least count of a trigram's context.
 PRIOR, CUTOFF = {2: 4.0, 3: 4.0}, 2
 #: Counts of a context in one piece.
 PIECE = 1 << 16
 _START, _END = np.uint64(0x7B1F3C5D9E8A6420), np.uint64(0x1D2C3B4A59687786)
-_W = np.uint64(40)
-_LOW = np.uint64((1 << 40) - 1)
+_W = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
 #: Decades that a quantised probability spans.
 _DECADES = 9.0
 
@@ -153,10 +154,10 @@ class Trie:
 
     @classmethod
     def build(cls, contexts: np.ndarray, totals: np.ndarray, keys: np.ndarray, counts: np.ndarray, prior: float) -> "Trie":
-        """Sorted distinct contexts with their counts, sorted distinct keys (context's place << 40 | successor) with theirs."""
+        """Sorted distinct contexts with their counts, sorted distinct keys (context's place << 32 | successor) with theirs."""
         of = (keys >> _W).astype(np.int64)
         starts = np.searchsorted(of, np.arange(len(contexts) + 1)).astype(np.uint64)
-        levels = EliasFano.of(contexts, 1 << 40), EliasFano.of(starts, len(keys) + 1), EliasFano.of(keys, max(1, len(contexts)) << 40)
+        levels = EliasFano.of(contexts, 1 << 40), EliasFano.of(starts, len(keys) + 1), EliasFano.of(keys, max(1, len(contexts)) << 32)
         parts = [x for f in levels for x in (f.low, f.high.view(np.uint8))]
         parts += [quantise(counts / (totals[of] + prior)), quantise(prior / (totals + prior))]
         at, places = cls._HEAD.size, []
@@ -193,6 +194,17 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
+def _pack_tokens(x: np.ndarray) -> bytes:
+    """Small numbers, byte by byte: of all the least byte first."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _unpack_tokens(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
+
+
 def _five(x: np.ndarray) -> bytes:
     """The low 40 bits of each, at five bytes."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -224,7 +236,7 @@ def _tokens(text: np.ndarray) -> Iterator[np.ndarray]:
     yield np.concatenate([*held, np.array([_END])])
 
 
-_BLOCK = "block long, keys binary, train binary, ends binary, lead binary, cont binary, words binary, tokens binary"
+_BLOCK = "block long, keys binary, train binary, ends binary, lead binary, cont binary, words binary, tokens binary, n_tokens long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +249,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number, size, count
         ends = np.cumsum([len(r[2]) for r in rows])
         lead = np.array([r[3] for r in rows], np.uint64)
-        words, place = np.unique(np.concatenate([*(r[2] for r in rows), lead, [_START]]), return_inverse=True)
-        cells = [np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], np.uint8), ends.astype("<i8"), place[ends[-1] : -1].astype("<u4"), np.array([r[4] for r in rows], np.uint8), words.astype("<u8"), place[: ends[-1]].astype("<u4")]
-        out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], [x.split()[0] for x in _BLOCK.split(", ")])
+        words, place, often = np.unique(np.concatenate([*(r[2] for r in rows), lead, [_START]]), return_inverse=True, return_counts=True)
+        by = np.argsort(-often, kind="stable")  # common words get small numbers, which compress
+        words, number_of = words[by], np.empty(len(by), np.int64)
+        number_of[by] = np.arange(len(by))
+        place = number_of[place]
+        cells = [np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], np.uint8), ends.astype("<i8"), place[ends[-1] : -1].astype("<u4"), np.array([r[4] for r in rows], np.uint8), words.astype("<u8")]
+        out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells), pa.array([_pack_tokens(place[: ends[-1]])], pa.binary()), pa.array([int(ends[-1])], pa.int64())], [x.split()[0] for x in _BLOCK.split(", ")])
         number, size, count = number + 1, 0, 0
         rows.clear()
         return out
@@ -269,8 +285,11 @@ class Block:
     def __init__(self, row: dict):
         get = lambda n, k: np.frombuffer(row[n], k)
         self.number = row["block"]
-        self.keys, self.ends, self.words = get("keys", "<i8"), get("ends", "<i8"), get("words", "<u8")
-        self.token = get("tokens", "<u4").astype(np.int64)
+        self.keys, self.ends, words = get("keys", "<i8"), get("ends", "<i8"), get("words", "<u8")
+        by = np.argsort(words)
+        self.words, place = words[by], np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.token = place[_unpack_tokens(row["tokens"])]
         first = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.keys)), np.diff(np.append(first, self.ends[-1])))
         self.real = np.ones(len(self.token), bool)
@@ -278,7 +297,7 @@ class Block:
         self.learn = self.real & get("train", np.uint8).astype(bool)[self.doc]
         self.before = np.empty(len(self.token), np.int64)
         self.before[1:] = self.token[:-1]
-        self.before[first] = get("lead", "<u4")
+        self.before[first] = place[get("lead", "<u4")]
         self.first = np.zeros(len(self.token), bool)
         self.first[first] = True
         self.start = int(np.searchsorted(self.words, _START))
@@ -300,7 +319,7 @@ class Block:
         g.order = np.argsort(key, kind="stable")
         key = key[g.order]
         g.edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        g.key, g.successor, g.counts, g.totals = key[g.edge], w[g.order] >> np.uint64(24), counts[g.order], totals[c[g.order][g.edge]]
+        g.key, g.successor, g.counts, g.totals = key[g.edge], w[g.order] >> _W, counts[g.order], totals[c[g.order][g.edge]]
         g.kinds = np.diff(np.append(g.edge, len(key)))
         g.at, g.where, g.n = at, where, len(pair)
         return g
@@ -325,7 +344,7 @@ class Grams:
         edge = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
         a = np.append(np.searchsorted(self.key, edge), len(self.key))
         b = np.append(self.edge, len(self.successor))[a]
-        rows = [(s, block, _five(self.key[a[s] : a[s + 1]]), _pack(self.kinds[a[s] : a[s + 1]], "<u4"), _pack(self.totals[a[s] : a[s + 1]], "<i8"), _five(self.successor[b[s] : b[s + 1]]), _pack(self.counts[b[s] : b[s + 1]], "<u4")) for s in range(shards) if a[s + 1] > a[s]]
+        rows = [(s, block, _five(self.key[a[s] : a[s + 1]]), _pack(self.kinds[a[s] : a[s + 1]], "<u4"), _pack(self.totals[a[s] : a[s + 1]], "<i8"), self.successor[b[s] : b[s + 1]].astype("<u4").tobytes(), _pack(self.counts[b[s] : b[s + 1]], "<u4")) for s in range(shards) if a[s + 1] > a[s]]
         return _table(rows, _MESSAGE)
 
     def shares(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -387,7 +406,7 @@ def _gram_shard(order: int, keep: bool):
         every, place = np.unique(contexts, return_inverse=True)
         totals = np.zeros(len(every), np.int64)
         totals[place] = np.concatenate([_unpack(r["totals"], "<i8") for r in rows])
-        successors = np.concatenate([_unfive(r["successors"]) for r in rows])
+        successors = np.concatenate([np.frombuffer(r["successors"], "<u4") for r in rows])
         of = np.repeat(np.arange(len(contexts)), kinds)
         keys, at = np.unique(place[of].astype(np.uint64) << _W | successors, return_inverse=True)
         counts = np.bincount(at, np.concatenate([_unpack(r["counts"], "<u4") for r in rows]), len(keys)).astype(np.int64)
@@ -400,7 +419,7 @@ def _gram_shard(order: int, keep: bool):
         out, c, g = [], 0, 0
         for i, r in enumerate(rows):
             d = c + len(r["contexts"]) // 5
-            h = g + len(r["successors"]) // 5
+            h = g + len(r["successors"]) // 4
             out.append((r["block"], order, key[0].as_py(), back[place[c:d]].tobytes(), share[at[g:h]].tobytes(), _pack(counts[at[g:h]], "<i8") if order == 2 else None, 0, 0, bytes(trie.buffer) if keep and not i else None))
             c, g = d, h
         return _table(out, _ANSWER)
@@ -470,7 +489,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     rows = rows.withColumn("_id", F.col("_k")) if ids is None else rows.join(ids, "_k")
     held = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     blocks = materialise(rows.select("_k", "_text", (~held).alias("train")).mapInArrow(_blocks, _BLOCK))
-    shards = max(1, -(-(blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // (BLOCK // 2)))
+    shards = max(1, -(-(blocks.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD))
 
     def asked(order: int, answers: DataFrame) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_gram_messages(order, shards), _MESSAGE)
