@@ -278,8 +278,8 @@ def test_scores_in_pieces(docs, spark, monkeypatch):
     monkeypatch.setattr(lm, "_blocks", blocks)
     grams = lm._gram_messages
 
-    def messages(order, shards):
-        run = grams(order, shards)
+    def messages(order, shards, some):
+        run = grams(order, shards, some)
 
         def go(a, b):
             from tilewright.llm import lm as here

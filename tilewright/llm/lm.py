@@ -40,6 +40,8 @@ from .common import SPACE, materialise, mix, release, row_keyed, unkeyed, utf8,
 BLOCK, BLOCK_TOKENS, SHARD = 8 << 20, 1 << 21, 1 << 20
 #: The prior's weight in counts, per order, and the least count of a trigram's context.
 PRIOR, CUTOFF = {2: 4.0, 3: 4.0}, 2
+#: A round deals with this part of the shards at a time: only its messages lie on disk together.
+WAVES = 2
 #: Counts of a context in one piece.
 PIECE = 1 << 16
 _START, _END = np.uint64(0x7B1F3C5D9E8A6420), np.uint64(0x1D2C3B4A59687786)
@@ -340,23 +342,27 @@ class Block:
 
 
 class Grams:
-    def messages(self, block: int, shards: int) -> pa.Table:
+    def messages(self, block: int, shards: int, some: range) -> pa.Table:
         edge = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
         a = np.append(np.searchsorted(self.key, edge), len(self.key))
         b = np.append(self.edge, len(self.successor))[a]
-        rows = [(s, block, _five(self.key[a[s] : a[s + 1]]), _pack(self.kinds[a[s] : a[s + 1]], "<u4"), _pack(self.totals[a[s] : a[s + 1]], "<i8"), self.successor[b[s] : b[s + 1]].astype("<u4").tobytes(), _pack(self.counts[b[s] : b[s + 1]], "<u4")) for s in range(shards) if a[s + 1] > a[s]]
+        rows = [(s, block, _five(self.key[a[s] : a[s + 1]]), _pack(self.kinds[a[s] : a[s + 1]], "<u4"), _pack(self.totals[a[s] : a[s + 1]], "<i8"), self.successor[b[s] : b[s + 1]].astype("<u4").tobytes(), _pack(self.counts[b[s] : b[s + 1]], "<u4")) for s in some if a[s + 1] > a[s]]
         return _table(rows, _MESSAGE)
 
-    def shares(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per position of ``where``: back-off weight, share; and per distinct pair its count (where answered)."""
-        back, share = (np.frombuffer(b"".join(x[n] for x in answers), np.uint8) for n in ("first", "second"))
+    def pair_counts(self, answers: list[dict]) -> np.ndarray:
+        """The count of each distinct pair."""
         counts = np.zeros(self.n, np.int64)
-        counts[self.order] = np.concatenate([_unpack(x["third"], "<i8") for x in answers]) if answers and answers[0]["third"] else 0
+        counts[self.order] = _counts(answers)
+        return counts
+
+    def shares(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Back-off weight and share at each position of ``where``."""
+        back, share = (np.frombuffer(b"".join(x[n] for x in answers), np.uint8) for n in ("first", "second"))
         one = np.empty(self.n)
         one[self.order] = np.repeat(_VALUES[back], self.kinds)
         two = np.empty(self.n)
         two[self.order] = _VALUES[share]
-        return one[self.at], two[self.at], counts
+        return one[self.at], two[self.at]
 
 
 _MESSAGE = "shard long, block long, contexts binary, kinds binary, totals binary, successors binary, counts binary"
@@ -438,15 +444,15 @@ def _counts(answers: list[dict]) -> np.ndarray:
     return np.concatenate([_unpack(x["third"], "<i8") for x in answers])
 
 
-def _gram_messages(order: int, shards: int):
+def _gram_messages(order: int, shards: int, some: range):
     def run(blocks, answers):
         if not blocks.num_rows:
             return _table([], _MESSAGE)
         b, got = Block(blocks.to_pylist()[0]), _sorted(answers)
         grams = b.bigrams(_counts(got[1]))
         if order == 3:
-            grams = b.trigrams(grams, grams.shares(got[2])[2])
-        return grams.messages(b.number, shards)
+            grams = b.trigrams(grams, grams.pair_counts(got[2]))
+        return grams.messages(b.number, shards, some)
 
     return run
 
@@ -461,10 +467,10 @@ def _scores(n: int, v: int):
         counts = _counts(got[1])
         low = (counts[b.token] + 1) / (n + v + 1)
         two = b.bigrams(counts)
-        back, share, pairs = two.shares(got[2])
+        back, share = two.shares(got[2])
         p = share + back * low
-        three = b.trigrams(two, pairs)
-        back, share, _ = three.shares(got[3])
+        three = b.trigrams(two, two.pair_counts(got[2]))
+        back, share = three.shares(got[3])
         p[three.where] = share + back * p[three.where]
         size, real = len(b.keys), b.real
         cols = [np.bincount(b.doc[real], minlength=size), np.bincount(b.doc[real & (counts[b.token] > 0)], minlength=size)]
@@ -491,15 +497,19 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     blocks = materialise(rows.select("_k", "_text", (~held).alias("train")).mapInArrow(_blocks, _BLOCK))
     shards = max(1, -(-(blocks.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD))
 
-    def asked(order: int, answers: DataFrame) -> DataFrame:
-        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_gram_messages(order, shards), _MESSAGE)
+    def asked(order: int, answers: DataFrame, some: range) -> DataFrame:
+        counts = answers.select("block", "round", "shard", F.lit(None).cast("binary").alias("first"), F.lit(None).cast("binary").alias("second"), "third")
+        return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_gram_messages(order, shards, some), _MESSAGE)
 
     answers = materialise(blocks.mapInArrow(_word_messages(shards), _MESSAGE).groupBy("shard").applyInArrow(_word_shard, _ANSWER))
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
     for order in (2, 3):
-        more = materialise(asked(order, answers).groupBy("shard").applyInArrow(_gram_shard(order, model_path is not None), _ANSWER))
-        answers = answers.union(more)
-        release(spark)
+        base = answers
+        for wave in range(WAVES):
+            some = range(shards * wave // WAVES, shards * (wave + 1) // WAVES)
+            if some:
+                answers = answers.union(materialise(asked(order, base, some).groupBy("shard").applyInArrow(_gram_shard(order, model_path is not None), _ANSWER)))
+                release(spark)
     if model_path:
         answers.filter("trie is not null").select(F.col("round").alias("order"), "shard", "trie").write.parquet(model_path)
     run, schema = _scores(n, v)
