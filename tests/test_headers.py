@@ -84,3 +84,16 @@ def test_rows(spark):
     rows = jpeg.decode_rows(out, 1).orderBy("y").collect()
     assert len(rows) == 45 and all(len(r.row) == 61 for r in rows)
     assert b"".join(bytes(r.row) for r in rows) == bytes(out.filter("idx = 1").first().pixels)
+
+
+def test_estimates(spark, tmp_path):
+    from tilewright.operators import reports
+
+    for name, median in (("group/b", 5.0), ("group/a", 7.5), ("skipped", None)):
+        d = tmp_path / "criterion" / name / "new"
+        d.mkdir(parents=True)
+        body = {"median": {"point_estimate": median, "confidence_interval": {"lower_bound": median - 1, "upper_bound": median + 1}}} if median else {}
+        (d / "estimates.json").write_text(__import__("json").dumps(body))
+        (d / "other.json").write_text("{}")
+    got = [tuple(r) for r in reports.discover_estimates(spark, str(tmp_path / "criterion")).collect()]
+    assert got == [("group/a", 7.5, 6.5, 8.5), ("group/b", 5.0, 4.0, 6.0)]

@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_planning, catalog_samples  # noqa: F401  (they register their queries)
 from .functions import geometry as G
 from .functions import pixels as P
 from .functions import rules, wavelet
 from .operators import batches, codestream, containers, jpeg, packets, passthrough, reports, viewport
 from .plans import tiles as T
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .sources import frames
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "passthrough_decision"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ------------------------------------------------------------------ geometry and buffers
 
 
@@ -224,21 +214,34 @@ def win_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ packet orders
 
-_GRID = "grid AS (SELECT layer, res, comp, precinct, (precinct % 4) * (64 >> res) AS x, (precinct // 4) * (64 >> res) AS y FROM range(3) a(layer), range(4) b(res), range(3) c(comp), range(8) d(precinct))"
+_GRID = f"""{T.HEADERS_SQL}, grid AS (SELECT tile, layer, res, comp, precinct, (precinct % 4) * (64 >> res) AS x, (precinct // 4) * (64 >> res) AS y
+FROM headers, unnest(range(1 + tile % 3)) a(layer), unnest(range(1 + tile % 4)) b(res), unnest(range(components)) c(comp), unnest(range(1 + tile % 8)) d(precinct))"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("tile")
+    return packets.grid(T.headers(spark, sf_dir), "tile", 1 + k % 3, 1 + k % 4, F.col("components").cast("long"), 1 + k % 8)
 
 
 def _packet(name: str):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return packets.ordered(packets.grid(spark, 3, 4, 3, 8), name)
+        return packets.ordered(_grid(spark, sf_dir), "tile", name)
 
     f.__name__ = f"packet_order_{name}"
-    query(f"WITH {_GRID} SELECT layer, res, comp, precinct, row_number() OVER (ORDER BY {', '.join(packets.ORDERS[name])}) AS place FROM grid")(f)
+    query(f"WITH {_GRID} SELECT tile, layer, res, comp, precinct, row_number() OVER (PARTITION BY tile ORDER BY {', '.join(packets.ORDERS[name])}) AS place FROM grid")(f)
 
 
 for _name in packets.ORDERS:
     _packet(_name)
 
 
+@query(f"WITH {_GRID} SELECT tile, layer, res, comp, precinct, row_number() OVER (PARTITION BY tile ORDER BY res, layer, comp, precinct) AS place FROM grid WHERE res >= 1 AND res < 3 AND layer < 2 AND comp < 1 + tile % 2")
+def packet_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets within bounds of resolutions, layers and components only."""
+    some = packets.bounded(_grid(spark, sf_dir), res=(F.lit(1), F.lit(3)), layer=(F.lit(0), F.lit(2)), comp=(F.lit(0), 1 + F.col("tile") % 2))
+    return packets.ordered(some, "tile", "rlcp")
+
+
 # ------------------------------------------------------------------ containers and codecs
 
 

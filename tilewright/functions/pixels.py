@@ -93,8 +93,52 @@ def scaled_quant(base: Column, quality: Column) -> Column:
 
 
 def widen(sample: Column, depth: Column) -> Column:
-    """8 bits or fewer spread over 16; deeper samples stay as they are."""
-    return F.when(depth <= 8, F.expr("1") * (sample * 65535 / (F.pow(F.lit(2), depth) - 1)).cast("int")).otherwise(sample)
+    """8 bits or fewer spread over 16, rounded to nearest; deeper samples stay as they are."""
+    most = (F.pow(F.lit(2), depth) - 1).cast("long")
+    return F.when(depth <= 8, F.floor((sample * 65535 + F.floor(most / 2)) / most)).otherwise(sample).cast("long")
+
+
+def layout(fmt: Column) -> Column:
+    return F.regexp_replace(fmt, "[0-9]+$", "")
+
+
+def sample_type(fmt: Column) -> Column:
+    return _lookup(fmt, {k: "U8" if b == 1 else "U16" for k, (_, b) in FORMATS.items()})
+
+
+def ict(r: Column, g: Column, b: Column) -> Column:
+    """The irreversible component transform, forwards, in doubles."""
+    # fixed values: luminance and colour-difference weights
+    return F.struct((0.299 * r + 0.587 * g + 0.114 * b).alias("y"), (-0.16875 * r - 0.33126 * g + 0.5 * b).alias("cb"), (0.5 * r - 0.41869 * g - 0.08131 * b).alias("cr"))
+
+
+def ict_inverse(y: Column, cb: Column, cr: Column) -> Column:
+    return F.struct((y + 1.402 * cr).alias("r"), (y - 0.344136 * cb - 0.714136 * cr).alias("g"), (y + 1.772 * cb).alias("b"))
+
+
+def sycc_to_rgb(y: Column, cb: Column, cr: Column, depth: Column) -> Column:
+    """Standard YCC samples to RGB, clamped to the depth, unrounded."""
+    half, most = F.pow(F.lit(2.0), depth - 1), F.pow(F.lit(2.0), depth) - 1
+    rgb = ict_inverse(y.cast("double"), cb - half, cr - half)
+    return F.struct(*[F.greatest(F.lit(0.0), F.least(most, rgb[c])).alias(c) for c in ("r", "g", "b")])
+
+
+def lab_samples(l: Column, a: Column, b: Column, depth: Column) -> Column:  # noqa: E741
+    """CIELab samples of one depth with default ranges, on the scale of the output depth; no profile is applied.
+
+    Null below four bits. Fixed values: ranges 100, 170 and 200; that of b defaults to 170, too, as
+    in the results to match.
+    """
+    most = F.pow(F.lit(2.0), depth) - 1
+    out = []
+    for name, x, span, zero, offset, scale in (
+        ("l", l, 100.0, F.lit(0.0), 0.0, 100.0),
+        ("a", a, 170.0, F.pow(F.lit(2.0), depth - 1), 128.0, 255.0),
+        ("b", b, 170.0, F.pow(F.lit(2.0), depth - 2) + F.pow(F.lit(2.0), depth - 3), 128.0, 255.0),
+    ):
+        value = x * span / most - span * zero / most + offset
+        out.append((value * most / scale).alias(name))
+    return F.when(depth >= 4, F.struct(*out))
 
 
 def upsample_h2v1(row: Column) -> Column:
@@ -113,3 +157,8 @@ def upsample_h2v1(row: Column) -> Column:
 def flag(value: Column) -> Column:
     """Whether a setting's text switches it on."""
     return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "t", "yes", "y", "on", "enable", "enabled"), F.lit(False))
+
+
+def profile_mode(value: Column) -> Column:
+    """What a setting's text asks of a profile: summaries, rows or nothing."""
+    return F.when(F.lower(F.trim(value)).isin("summary", "summaries", "aggregate", "aggregates"), "Summary").when(flag(value), "Rows").otherwise("Disabled")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The five progressions' sort keys.
@@ -15,14 +15,23 @@ ORDERS = {
 }
 
 
-def grid(spark: SparkSession, layers: int, resolutions: int, comps: int, precincts: int) -> DataFrame:
-    """One row per packet, from one range; precincts lie in rows of four."""
-    i = F.col("id")
-    out = spark.range(layers * resolutions * comps * precincts).select((i % precincts).alias("precinct"), (F.floor(i / precincts) % comps).alias("comp"), (F.floor(i / (precincts * comps)) % resolutions).alias("res"), F.floor(i / (precincts * comps * resolutions)).alias("layer"))
+def grid(tiles: DataFrame, tile: str, layers: Column, resolutions: Column, comps: Column, precincts: Column) -> DataFrame:
+    """One row per packet of each tile; precincts lie in rows of four."""
+    out = tiles.select(tile, layers.alias("_l"), resolutions.alias("_r"), comps.alias("_c"), precincts.alias("_p"))
+    for bound, name in (("_l", "layer"), ("_r", "res"), ("_c", "comp"), ("_p", "precinct")):
+        out = out.filter(F.col(bound) > 0).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(bound).cast("long") - 1)))
     step = F.floor(F.lit(64) / F.pow(F.lit(2), F.col("res"))).cast("long")
-    return out.select("*", ((F.col("precinct") % 4) * step).alias("x"), (F.floor(F.col("precinct") / 4) * step).alias("y"))
+    return out.select(tile, "layer", "res", "comp", "precinct", ((F.col("precinct") % 4) * step).alias("x"), (F.floor(F.col("precinct") / 4) * step).alias("y"))
 
 
-def ordered(packets: DataFrame, order: str) -> DataFrame:
-    """The place of each packet of one tile; a tile's packets are bounded by its header."""
-    return packets.select("layer", "res", "comp", "precinct", F.row_number().over(Window.orderBy(*ORDERS[order])).cast("long").alias("place"))
+def bounded(packets: DataFrame, **bounds: tuple[Column, Column]) -> DataFrame:
+    """Packets whose named coordinates lie in [low, high)."""
+    for name, (low, high) in bounds.items():
+        packets = packets.filter((F.col(name) >= low) & (F.col(name) < high))
+    return packets
+
+
+def ordered(packets: DataFrame, tile: str, order: str) -> DataFrame:
+    """The place of each packet within its tile; a tile's packets are bounded by its header."""
+    w = Window.partitionBy(tile).orderBy(*ORDERS[order])
+    return packets.select(tile, "layer", "res", "comp", "precinct", F.row_number().over(w).cast("long").alias("place"))
