@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from itertools import pairwise
@@ -11,15 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import entropy
+
 #: Frame kinds by marker.
 FRAMES = {0xC0: "Baseline8", 0xC1: "Extended8", 0xC2: "Progressive8", 0xC3: "Lossless"}
 #: The public luminance quantiser, in natural order.
 LUMA_QUANT = [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
 #: Codes per length of the public luminance tables.
 DC_BITS, AC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]
-#: The short codes' symbols, in order; all others follow in ascending order.
-AC_FIRST = [0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82]
-AC_VALUES = [*AC_FIRST, *sorted({r << 4 | s for r in range(16) for s in range(1, 11)} - set(AC_FIRST))]
+#: The symbols of the public luminance AC table, in code order.
+AC_VALUES = [0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82, 0x09, 0x0A, 0x16, 0x17, 0x18, 0x19, 0x1A, 0x25, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x34, 0x35, 0x36, 0x37, 0x38, 0x39, 0x3A, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5A, 0x63, 0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6A, 0x73, 0x74, 0x75, 0x76, 0x77, 0x78, 0x79, 0x7A, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9A, 0xA2, 0xA3, 0xA4, 0xA5, 0xA6, 0xA7, 0xA8, 0xA9, 0xAA, 0xB2, 0xB3, 0xB4, 0xB5, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xCA, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8, 0xD9, 0xDA, 0xE1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA, 0xF1, 0xF2, 0xF3, 0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA]
 #: Natural place of each zig-zag place: along anti-diagonals, every other one upwards.
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
 _DCT = np.array([[np.sqrt((1 if k == 0 else 2) / 8) * np.cos((2 * n + 1) * k * np.pi / 16) for n in range(8)] for k in range(8)])
@@ -200,35 +202,6 @@ def encode(planes: np.ndarray, quality: int = 90, restart: int = 0, sampling: tu
     return b"".join(head) + bytes(out) + b"\xff\xd9"
 
 
-class _Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.acc, self.size = data, 0, 0, 0
-
-    def take(self, n: int) -> int:
-        while self.size < n:
-            byte = self.data[self.at] if self.at < len(self.data) else 0
-            if self.at > len(self.data) + 8:
-                raise JpegError("truncated")
-            self.at += 1
-            self.acc, self.size = self.acc << 8 | byte, self.size + 8
-        self.size -= n
-        out = self.acc >> self.size
-        self.acc &= (1 << self.size) - 1
-        return out
-
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (code, length) in table:
-                return table[code, length]
-        raise JpegError("invalid_code")
-
-    def signed(self, n: int) -> int:
-        v = self.take(n) if n else 0
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-
 def restarts(data: bytes) -> list[tuple[int, int, int | None]]:
     """(first coded unit, where its entropy-coded data starts, the marker before it) of each restart segment.
 
@@ -255,68 +228,143 @@ def restarts(data: bytes) -> list[tuple[int, int, int | None]]:
     return out
 
 
+class Scan:
+    """What is needed of a sequential tile's scan for a window of its rows of coded units."""
+
+    def __init__(self, data: bytes, top: int = 0, bottom: int | None = None):
+        """``top`` and ``bottom`` bound the window in source pixels; a unit's margin on either side is decoded, too."""
+        self.info = info = inspect(data)
+        if info["sof"] not in ("Baseline8", "Extended8"):
+            raise JpegError("not_implemented")
+        if any(not 1 <= f <= 4 for p in info["parts"] for f in p[1:3]):
+            raise JpegError("unsupported_sampling")
+        n, (tall, self.wide, self.factors) = info["components"], _grid(info)
+        scan = info["scan"]
+        if len(scan) < 1 + 2 * n or scan[0] != n:
+            raise JpegError("unsupported_scan")
+        side = 8 * max(v for v, _ in self.factors)
+        self.first = max(0, top // side - 1)
+        self.last = tall if bottom is None else min(tall, -(-bottom // side) + 1)
+        try:
+            tables = [(info["huffman"][scan[2 + 2 * i] >> 4], info["huffman"][0x10 | scan[2 + 2 * i] & 15]) for i in range(n)]
+            self.quant = [info["quant"][p[3]] for p in info["parts"]]
+        except KeyError as e:
+            raise JpegError("missing_table") from e
+        self.comps = [c for c, (v, h) in enumerate(self.factors) for _ in range(v * h)]
+        self.tables = tuple(tuple((tuple(bits), tuple(values)) for bits, values in tables[c]) for c in self.comps)
+        body = data[info["entropy"] :]
+        marks = [i for i in (m.start() for m in re.finditer(rb"\xff[^\x00\xff]", body, re.DOTALL))]
+        stops = [m for m in marks if not 0xD0 <= body[m + 1] <= 0xD7]
+        end = stops[0] if stops else len(body)
+        cuts = [0, *(m + 2 for m in marks if m < end), end + 2]
+        total, each = tall * self.wide, info["restart"] or tall * self.wide
+        if -(-total // each) > len(cuts) - 1:
+            raise JpegError("truncated")
+        # segments that end above the window are never read, nor is anything below it
+        low, high = self.first * self.wide, self.last * self.wide
+        self.lanes, self.units, self.starts = [], [], []
+        for p, (a, b) in enumerate(pairwise(cuts)):
+            start, stop = p * each, min(total, (p + 1) * each, high)
+            if stop > max(start, low):
+                self.lanes.append(body[a : b - 2].replace(b"\xff\x00", b"\xff"))
+                self.units.append(stop - start)
+                self.starts.append(start)
+
+    def blocks(self, coeff: np.ndarray, errors: list[str | None]) -> list[np.ndarray]:
+        """Lanes of zig-zag coefficients -> per component rows x columns x 64 in natural order, dequantised, of the window's rows."""
+        if any(errors):
+            raise JpegError(next(filter(None, errors)))
+        low, rows = self.first * self.wide, self.last - self.first
+        every = np.zeros((rows * self.wide, len(self.comps), 64), np.int64)
+        for part, start, units in zip(coeff, self.starts, self.units, strict=True):
+            a = max(start, low)
+            every[a - low : start + units - low] = part[a - start : units]
+        out, at = [], 0
+        for q, (v, h) in zip(self.quant, self.factors, strict=True):
+            natural = np.zeros((len(every), v * h, 64), np.int64)
+            natural[:, :, ZIGZAG] = every[:, at : at + v * h] * q
+            at += v * h
+            out.append(natural.reshape(rows, self.wide, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(rows * v, self.wide * h, 64))
+        return out
+
+
+def decode_scans(scans: list[Scan]) -> list[list[np.ndarray] | JpegError]:
+    """Each scan's blocks, or what is wrong with it; scans with equal tables are decoded side by side."""
+    groups: dict[tuple, list[int]] = {}
+    for i, s in enumerate(scans):
+        groups.setdefault((tuple(s.comps), s.tables), []).append(i)
+    out: list = [None] * len(scans)
+    for (comps, tables), members in groups.items():
+        try:
+            made = {t: entropy.lookup(*t) for pair in set(tables) for t in pair}
+            dc, ac = ([made[pair[j]] for pair in tables] for j in (0, 1))
+        except entropy.ScanError as e:
+            for i in members:
+                out[i] = JpegError(str(e))
+            continue
+        some = 0
+        while some < len(members):  # bounded memory: some 64 MB of coefficients at a time
+            part, held = [], 0
+            while some < len(members) and (not part or held < 1 << 18):
+                part.append(members[some])
+                held += sum(scans[members[some]].units) * len(comps)
+                some += 1
+            lanes = [x for i in part for x in scans[i].lanes]
+            coeff, errors = entropy.decode(lanes, [u for i in part for u in scans[i].units], list(comps), dc, ac)
+            at = 0
+            for i in part:
+                n = len(scans[i].lanes)
+                try:
+                    out[i] = scans[i].blocks(coeff[at : at + n], errors[at : at + n])
+                except JpegError as e:
+                    out[i] = e
+                at += n
+    return out
+
+
 def coefficients(data: bytes) -> tuple[dict, list[np.ndarray]]:
     """(header, per component rows x columns x 64 of dequantised coefficients in natural order) of a sequential tile."""
-    info = inspect(data)
-    if info["sof"] not in ("Baseline8", "Extended8"):
-        raise JpegError("not_implemented")
-    if any(not 1 <= f <= 4 for p in info["parts"] for f in p[1:3]):
-        raise JpegError("unsupported_sampling")
-    n, (tall, wide, factors) = info["components"], _grid(info)
-    scan = info["scan"]
-    if len(scan) < 1 + 2 * n or scan[0] != n:
-        raise JpegError("unsupported_scan")
-    tables = [(scan[2 + 2 * i] >> 4, scan[2 + 2 * i] & 15) for i in range(n)]
-    by = {k: {c: s for s, c in _codes(*v).items()} for k, v in info["huffman"].items()}
-    body = data[info["entropy"] :]
-    marks = [i for i in range(len(body) - 1) if body[i] == 255 and body[i + 1] not in (0, 255)]
-    stops = [m for m in marks if not 0xD0 <= body[m + 1] <= 0xD7]
-    end = stops[0] if stops else len(body)
-    cuts = [0, *(m + 2 for m in marks if m < end), end + 2]
-    parts = [body[a : b - 2].replace(b"\xff\x00", b"\xff") for a, b in pairwise(cuts)]
-    total, each = tall * wide, info["restart"] or tall * wide
-    coeff = [np.zeros((total, v * h, 64), np.int64) for v, h in factors]
-    places = [(c, i) for c, (v, h) in enumerate(factors) for i in range(v * h)]
-    try:
-        codes = [(by[d], by[0x10 | a]) for d, a in tables]
-        quant = [info["quant"][p[3]] for p in info["parts"]]
-    except KeyError as e:
-        raise JpegError("missing_table") from e
-    for p, part in enumerate(parts[: -(-total // each)]):
-        bits, last = _Bits(part), [0] * n
-        for u in range(p * each, min(total, (p + 1) * each)):
-            for c, i in places:
-                (d, a), block = codes[c], coeff[c][u, i]
-                last[c] += bits.signed(bits.symbol(d))
-                block[0] = last[c]
-                k = 1
-                while k < 64:
-                    s = bits.symbol(a)
-                    if s == 0:
-                        break
-                    k += s >> 4
-                    if s & 15:
-                        if k > 63:
-                            raise JpegError("invalid_run")
-                        block[k] = bits.signed(s & 15)
-                    k += 1
-    if -(-total // each) > len(parts):
-        raise JpegError("truncated")
-    out = []
-    for c, q, (v, h) in zip(coeff, quant, factors, strict=True):
-        natural = np.zeros(c.shape)
-        natural[:, :, ZIGZAG] = c * q
-        out.append(natural.reshape(tall, wide, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(tall * v, wide * h, 64))
-    return info, out
+    scan = Scan(data)
+    (got,) = decode_scans([scan])
+    if isinstance(got, JpegError):
+        raise got
+    return scan.info, got
+
+
+def _passes() -> dict[int, np.ndarray]:
+    """The integer transform's one-dimensional pass, in 13-bit fixed point, by size of the result: rows of weights of the 8 inputs."""
+    # fixed values: the public slow integer transform and its reduced forms; odd rows are weights of inputs 1, 3, 5 and 7
+    even8 = np.array([[8192, 10703, 8192, 4433], [8192, 4433, -8192, -10704], [8192, -4433, -8192, 10704], [8192, -10703, 8192, -4433]])
+    odd8 = np.array([[11363, 9633, 6437, 2260], [9633, -2259, -11362, -6436], [6437, -11362, 2261, 9633], [2260, -6436, 9633, -11363]])
+    eight = np.zeros((8, 8), np.int64)
+    eight[:4, ::2], eight[7:3:-1, ::2] = even8, even8
+    eight[:4, 1::2], eight[7:3:-1, 1::2] = odd8, -odd8
+    odd4 = np.array([[20995, 7373, -4926, -4176], [8697, -17799, 11893, -1730]])
+    four = np.zeros((4, 8), np.int64)
+    four[:, 0] = 1 << 14
+    four[:, 2], four[:, 6] = [15137, -15137, -15137, 15137], [-6270, 6270, 6270, -6270]
+    four[:2, 1::2], four[3:1:-1, 1::2] = odd4, -odd4
+    two = np.zeros((2, 8), np.int64)
+    two[:, 0] = 1 << 15
+    two[0, 1::2] = [29692, -10426, 6967, -5906]
+    two[1, 1::2] = -two[0, 1::2]
+    return {8: eight, 4: four, 2: two}
+
+
+_PASS = {k: v.astype(float) for k, v in _passes().items()}
 
 
 def _samples(blocks: np.ndarray, denom: int) -> np.ndarray:
-    """A component's plane from its blocks; a reduced size takes the low frequencies of each."""
+    """A component's plane from its blocks by the exact integer transform of that size; doubles hold every sum exactly."""
     k = 8 // denom
-    basis = np.array([[np.sqrt((1 if f == 0 else 2) / k) * np.cos((2 * x + 1) * f * np.pi / (2 * k)) for x in range(k)] for f in range(k)])
-    low = blocks.reshape(*blocks.shape[:2], 8, 8)[:, :, :k, :k] / denom
-    out = (basis.T @ low @ basis).transpose(0, 2, 1, 3).reshape(blocks.shape[0] * k, blocks.shape[1] * k)
-    return np.clip(np.floor(out + 128.5), 0, 255).astype(np.int64)
+    if k == 1:
+        out = (blocks[:, :, 0] + 4) >> 3
+    else:
+        m, extra = _PASS[k], denom.bit_length() - 1
+        one = np.floor((m @ blocks.reshape(*blocks.shape[:2], 8, 8).astype(float) + (1 << (10 + extra))) / (1 << (11 + extra)))
+        both = np.floor((one @ m.T + (1 << (17 + extra))) / (1 << (18 + extra)))
+        out = both.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * k, blocks.shape[1] * k).astype(np.int64)
+    return np.clip(out + 128, 0, 255)
 
 
 def _wider(x: np.ndarray, shift: int, first: int, second: int) -> np.ndarray:
@@ -340,21 +388,30 @@ def upsample(plane: np.ndarray, across: int, down: int) -> np.ndarray:
     return plane.repeat(down, 0).repeat(across, 1)
 
 
-def decode(data: bytes, denom: int = 1) -> tuple[dict, np.ndarray]:
-    """(header, components x height x width) of a sequential tile, at full size or reduced by 2, 4 or 8."""
-    if denom not in (1, 2, 4, 8):
-        raise JpegError("unsupported_scale")
-    info, blocks = coefficients(data)
-    _, _, factors = _grid(info)
-    v, h = (max(f[i] for f in factors) for i in (0, 1))
-    if any(v % a or h % b for a, b in factors):
+def _planes(scan: Scan, blocks: list[np.ndarray], denom: int) -> tuple[int, np.ndarray]:
+    """(the first row's place on the reduced grid, components x rows x width) of a scan's window."""
+    info = scan.info
+    v, h = (max(f[i] for f in scan.factors) for i in (0, 1))
+    if any(v % a or h % b for a, b in scan.factors):
         raise JpegError("unsupported_sampling")
-    tall, wide = -(-info["height"] // denom), -(-info["width"] // denom)
+    top = scan.first * 8 * v // denom
+    tall, wide = min(-(-info["height"] // denom), scan.last * 8 * v // denom) - top, -(-info["width"] // denom)
     planes = []
-    for c, (a, b) in zip(blocks, factors, strict=True):
+    for c, (a, b) in zip(blocks, scan.factors, strict=True):
         own = _samples(c, denom)[: -(-tall * a // v), : -(-wide * b // h)]
         planes.append(upsample(own, h // b, v // a)[:tall, :wide])
-    return info, np.stack(planes).astype(np.uint8)
+    return top, np.stack(planes).astype(np.uint8)
+
+
+def decode(data: bytes, denom: int = 1) -> tuple[dict, np.ndarray]:
+    """(header, components x height x width) of a sequential tile, at full size or reduced by 2, 4 or 8."""
+    if denom not in (1, 2, 4, 8):
+        raise JpegError("unsupported_scale")
+    scan = Scan(data)
+    (blocks,) = decode_scans([scan])
+    if isinstance(blocks, JpegError):
+        raise blocks
+    return scan.info, _planes(scan, blocks, denom)[1]
 
 
 def to_rgb(planes: np.ndarray, colorspace: str) -> np.ndarray:
@@ -371,34 +428,55 @@ def to_rgb(planes: np.ndarray, colorspace: str) -> np.ndarray:
     return out.clip(0, 255).astype(np.uint8)
 
 
+class Job:
+    """A tile's region to be decoded; checked, and its scan cut to the region's rows, before any entropy decoding."""
+
+    def __init__(self, data: bytes, fmt: str = "Rgb8", roi: tuple[int, int, int, int] | None = None, denom: int = 1, alpha: int = 255):
+        if fmt not in ("Rgb8", "Gray8", "Rgba8"):
+            raise JpegError("unsupported_bit_depth")
+        if fmt == "Rgba8" and denom != 1:
+            raise JpegError("downscale_unsupported")
+        if denom not in (1, 2, 4, 8):
+            raise JpegError("unsupported_scale")
+        info = inspect(data)
+        x, y, w, h = roi or (0, 0, info["width"], info["height"])
+        if min(x, y, w, h) < 0 or x + w > info["width"] or y + h > info["height"]:
+            raise JpegError("invalid_region")
+        self.fmt, self.denom, self.alpha = fmt, denom, alpha
+        x0, y0 = x // denom, y // denom
+        x1, y1 = (-(-(x + w) // denom), -(-(y + h) // denom)) if w and h else (x0, y0)
+        self.rect = (x0, y0, x1 - x0, y1 - y0)
+        self.scan = Scan(data, y0 * denom, y1 * denom)
+
+    def pixels(self, blocks: list[np.ndarray]) -> np.ndarray:
+        """height x width x channels of bytes."""
+        x, y, w, h = self.rect
+        colorspace = self.scan.info["colorspace"]
+        top, planes = _planes(self.scan, blocks, self.denom)
+        part = planes[:, y - top : y - top + h, x : x + w]
+        if self.fmt == "Gray8" and colorspace in ("Gray", "YCbCr"):
+            out = part[0][..., None]
+        else:
+            out = to_rgb(part, colorspace)
+            if self.fmt == "Gray8":
+                r, g, b = np.moveaxis(out.astype(np.int64), -1, 0)
+                out = ((77 * r + 150 * g + 29 * b + 128) >> 8)[..., None].astype(np.uint8)
+            elif self.fmt == "Rgba8":
+                out = np.concatenate([out, np.full((*out.shape[:2], 1), self.alpha, np.uint8)], -1)
+        return np.ascontiguousarray(out)
+
+
 def decode_pixels(data: bytes, fmt: str = "Rgb8", roi: tuple[int, int, int, int] | None = None, denom: int = 1, alpha: int = 255) -> tuple[tuple[int, int, int, int], np.ndarray]:
     """(the decoded rectangle on the reduced grid, height x width x channels of bytes).
 
     ``roi`` is (x, y, w, h) in source pixels; its reduced rectangle starts rounded down and ends
     rounded up. Formats are Rgb8, Gray8 and, at full size, Rgba8.
     """
-    if fmt not in ("Rgb8", "Gray8", "Rgba8"):
-        raise JpegError("unsupported_bit_depth")
-    if fmt == "Rgba8" and denom != 1:
-        raise JpegError("downscale_unsupported")
-    info = inspect(data)
-    x, y, w, h = roi or (0, 0, info["width"], info["height"])
-    if min(x, y, w, h) < 0 or x + w > info["width"] or y + h > info["height"]:
-        raise JpegError("invalid_region")
-    info, planes = decode(data, denom)
-    x0, y0 = x // denom, y // denom
-    x1, y1 = (-(-(x + w) // denom), -(-(y + h) // denom)) if w and h else (x0, y0)
-    part = planes[:, y0:y1, x0:x1]
-    if fmt == "Gray8" and info["colorspace"] in ("Gray", "YCbCr"):
-        out = part[0][..., None]
-    else:
-        out = to_rgb(part, info["colorspace"])
-        if fmt == "Gray8":
-            r, g, b = np.moveaxis(out.astype(np.int64), -1, 0)
-            out = ((77 * r + 150 * g + 29 * b + 128) >> 8)[..., None].astype(np.uint8)
-        elif fmt == "Rgba8":
-            out = np.concatenate([out, np.full((*out.shape[:2], 1), alpha, np.uint8)], -1)
-    return (x0, y0, x1 - x0, y1 - y0), np.ascontiguousarray(out)
+    job = Job(data, fmt, roi, denom, alpha)
+    (blocks,) = decode_scans([job.scan])
+    if isinstance(blocks, JpegError):
+        raise blocks
+    return job.rect, job.pixels(blocks)
 
 
 DECODED = "idx long, x long, y long, w long, h long, pixels binary, error string"
@@ -411,14 +489,23 @@ def decode_jobs(jobs: DataFrame, fmt: str = "Rgb8") -> DataFrame:
     keeps their order, and a failed one has only its error.
     """
 
+    def one(r: dict) -> Job | JpegError:
+        try:
+            return Job(r["payload"] or b"", fmt, None if r["x"] is None else (r["x"], r["y"], r["w"], r["h"]), r["denom"] or 1)
+        except JpegError as e:
+            return e
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                roi = None if r["x"] is None else (r["x"], r["y"], r["w"], r["h"])
+        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            rows, wanted = [], b.to_pylist()
+            jobs_ = [one(r) for r in wanted]
+            blocks = iter(decode_scans([j.scan for j in jobs_ if isinstance(j, Job)]))
+            for r, job in zip(wanted, jobs_, strict=True):
+                got = next(blocks) if isinstance(job, Job) else job
                 try:
-                    rect, out = decode_pixels(r["payload"] or b"", fmt, roi, r["denom"] or 1)
-                    rows.append((r["idx"], *rect, out.tobytes(), None))
+                    if isinstance(got, JpegError):
+                        raise got
+                    rows.append((r["idx"], *job.rect, job.pixels(got).tobytes(), None))
                 except JpegError as e:
                     rows.append((r["idx"], *(None,) * 5, str(e)))
             kinds = [*[pa.int64()] * 5, pa.binary(), pa.string()]
