@@ -48,6 +48,9 @@ def _codes(bits: list[int], values: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+_DC, _AC = _codes(DC_BITS, list(range(12))), _codes(AC_BITS, AC_VALUES)
+
+
 def segments(data: bytes) -> Iterator[tuple[int, bytes, int]]:
     """(marker, payload, where the next byte is) up to the first scan's header."""
     if data[:2] != b"\xff\xd8":
@@ -120,6 +123,23 @@ def inspect(data: bytes) -> dict:
     return info
 
 
+_plans: dict[int, dict[bytes, dict]] = {}
+_PLANS = 64
+
+
+def plan(data: bytes) -> dict:
+    """inspect(), remembered by the header's bytes: tiles of one slide share a few headers. A worker keeps _PLANS of them."""
+    for size, known in _plans.items():
+        info = known.get(data[:size])
+        if info is not None:
+            return info
+    info = inspect(data)
+    if sum(map(len, _plans.values())) >= _PLANS:
+        _plans.clear()
+    _plans.setdefault(info["entropy"], {})[bytes(data[: info["entropy"]])] = info
+    return info
+
+
 def _grid(info: dict) -> tuple[int, int, list[tuple[int, int]]]:
     """(rows and columns of coded units, each component's blocks down and across in one)."""
     factors = [(p[2], p[1]) for p in info["parts"]] if info["components"] > 1 else [(1, 1)]
@@ -145,7 +165,7 @@ def encode(planes: np.ndarray, quality: int = 90, restart: int = 0, sampling: tu
         c = (_DCT @ blocks @ _DCT.T).reshape(tall * v, wide * hh, 64) / table
         c = np.trunc(c + np.copysign(0.5, c)).astype(np.int64)[:, :, ZIGZAG]
         coeff.append(c.reshape(tall, v, wide, hh, 64).transpose(0, 2, 1, 3, 4).reshape(tall * wide, v * hh, 64))
-    dc, ac = _codes(DC_BITS, list(range(12))), _codes(AC_BITS, AC_VALUES)
+    dc, ac = _DC, _AC
     head = [b"\xff\xd8", b"\xff\xdb" + struct.pack(">HB", 67, 0) + table[ZIGZAG].astype(np.uint8).tobytes()]
     if restart:
         head.append(b"\xff\xdd" + struct.pack(">HH", 4, restart))
@@ -231,9 +251,9 @@ def restarts(data: bytes) -> list[tuple[int, int, int | None]]:
 class Scan:
     """What is needed of a sequential tile's scan for a window of its rows of coded units."""
 
-    def __init__(self, data: bytes, top: int = 0, bottom: int | None = None):
+    def __init__(self, data: bytes, top: int = 0, bottom: int | None = None, info: dict | None = None):
         """``top`` and ``bottom`` bound the window in source pixels; a unit's margin on either side is decoded, too."""
-        self.info = info = inspect(data)
+        self.info = info = info or plan(data)
         if info["sof"] not in ("Baseline8", "Extended8"):
             raise JpegError("not_implemented")
         if any(not 1 <= f <= 4 for p in info["parts"] for f in p[1:3]):
@@ -251,7 +271,9 @@ class Scan:
         except KeyError as e:
             raise JpegError("missing_table") from e
         self.comps = [c for c, (v, h) in enumerate(self.factors) for _ in range(v * h)]
-        self.tables = tuple(tuple((tuple(bits), tuple(values)) for bits, values in tables[c]) for c in self.comps)
+        if "tables" not in info:
+            info["tables"] = tuple(tuple((tuple(bits), tuple(values)) for bits, values in tables[c]) for c in self.comps)
+        self.tables = info["tables"]
         body = data[info["entropy"] :]
         marks = [i for i in (m.start() for m in re.finditer(rb"\xff[^\x00\xff]", body, re.DOTALL))]
         stops = [m for m in marks if not 0xD0 <= body[m + 1] <= 0xD7]
@@ -270,26 +292,32 @@ class Scan:
                 self.units.append(stop - start)
                 self.starts.append(start)
 
-    def blocks(self, coeff: np.ndarray, errors: list[str | None]) -> list[np.ndarray]:
-        """Lanes of zig-zag coefficients -> per component rows x columns x 64 in natural order, dequantised, of the window's rows."""
+    def window(self, coeff: np.ndarray, errors: list[str | None]) -> np.ndarray:
+        """Lanes of coefficients -> the window's units x blocks x 64."""
         if any(errors):
             raise JpegError(next(filter(None, errors)))
         low, rows = self.first * self.wide, self.last - self.first
-        every = np.zeros((rows * self.wide, len(self.comps), 64), np.int64)
+        if len(coeff) == 1 and self.starts[0] == low:
+            return coeff[0][: rows * self.wide]
+        every = np.zeros((rows * self.wide, len(self.comps), 64), coeff.dtype)
         for part, start, units in zip(coeff, self.starts, self.units, strict=True):
             a = max(start, low)
             every[a - low : start + units - low] = part[a - start : units]
-        out, at = [], 0
+        return every
+
+    def blocks(self, every: np.ndarray) -> list[np.ndarray]:
+        """Windows of scans of this geometry (any number x units x blocks x 64) -> per component rows x columns x 64 in natural order, dequantised."""
+        out, at, rows = [], 0, self.last - self.first
         for q, (v, h) in zip(self.quant, self.factors, strict=True):
-            natural = np.zeros((len(every), v * h, 64), np.int64)
-            natural[:, :, ZIGZAG] = every[:, at : at + v * h] * q
+            natural = np.zeros((len(every), rows * self.wide, v * h, 64), np.int64)
+            natural[..., ZIGZAG] = every[:, :, at : at + v * h] * q
             at += v * h
-            out.append(natural.reshape(rows, self.wide, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(rows * v, self.wide * h, 64))
+            out.append(natural.reshape(-1, rows, self.wide, v, h, 64).transpose(0, 1, 3, 2, 4, 5).reshape(-1, rows * v, self.wide * h, 64))
         return out
 
 
-def decode_scans(scans: list[Scan]) -> list[list[np.ndarray] | JpegError]:
-    """Each scan's blocks, or what is wrong with it; scans with equal tables are decoded side by side."""
+def decode_scans(scans: list[Scan]) -> list[np.ndarray | JpegError]:
+    """Each scan's window of coefficients, or what is wrong with it; scans with equal tables are decoded side by side."""
     groups: dict[tuple, list[int]] = {}
     for i, s in enumerate(scans):
         groups.setdefault((tuple(s.comps), s.tables), []).append(i)
@@ -315,7 +343,7 @@ def decode_scans(scans: list[Scan]) -> list[list[np.ndarray] | JpegError]:
             for i in part:
                 n = len(scans[i].lanes)
                 try:
-                    out[i] = scans[i].blocks(coeff[at : at + n], errors[at : at + n])
+                    out[i] = scans[i].window(coeff[at : at + n], errors[at : at + n])
                 except JpegError as e:
                     out[i] = e
                 at += n
@@ -328,7 +356,7 @@ def coefficients(data: bytes) -> tuple[dict, list[np.ndarray]]:
     (got,) = decode_scans([scan])
     if isinstance(got, JpegError):
         raise got
-    return scan.info, got
+    return scan.info, [c[0] for c in scan.blocks(got[None])]
 
 
 def _passes() -> dict[int, np.ndarray]:
@@ -355,41 +383,40 @@ _PASS = {k: v.astype(float) for k, v in _passes().items()}
 
 
 def _samples(blocks: np.ndarray, denom: int) -> np.ndarray:
-    """A component's plane from its blocks by the exact integer transform of that size; doubles hold every sum exactly."""
-    k = 8 // denom
+    """Planes from their blocks (... x rows x columns x 64) by the exact integer transform of that size; doubles hold every sum exactly."""
+    k, (*lead, rows, cols, _) = 8 // denom, blocks.shape
     if k == 1:
-        out = (blocks[:, :, 0] + 4) >> 3
+        out = (blocks[..., 0] + 4) >> 3
     else:
         m, extra = _PASS[k], denom.bit_length() - 1
-        one = np.floor((m @ blocks.reshape(*blocks.shape[:2], 8, 8).astype(float) + (1 << (10 + extra))) / (1 << (11 + extra)))
+        one = np.floor((m @ blocks.reshape(*lead, rows, cols, 8, 8).astype(float) + (1 << (10 + extra))) / (1 << (11 + extra)))
         both = np.floor((one @ m.T + (1 << (17 + extra))) / (1 << (18 + extra)))
-        out = both.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * k, blocks.shape[1] * k).astype(np.int64)
+        out = both.swapaxes(-3, -2).reshape(*lead, rows * k, cols * k).astype(np.int64)
     return np.clip(out + 128, 0, 255)
 
 
 def _wider(x: np.ndarray, shift: int, first: int, second: int) -> np.ndarray:
     """Triangle filter to twice the width; rounding alternates between left and right samples."""
-    left, right = np.pad(x, ((0, 0), (1, 0)), "edge")[:, :-1], np.pad(x, ((0, 0), (0, 1)), "edge")[:, 1:]
-    out = np.empty((x.shape[0], 2 * x.shape[1]), np.int64)
-    out[:, ::2] = (3 * x + left + first) >> shift
-    out[:, 1::2] = (3 * x + right + second) >> shift
+    out = np.empty((*x.shape[:-1], 2 * x.shape[-1]), np.int64)
+    out[..., ::2] = (3 * x + np.concatenate([x[..., :1], x[..., :-1]], -1) + first) >> shift
+    out[..., 1::2] = (3 * x + np.concatenate([x[..., 1:], x[..., -1:]], -1) + second) >> shift
     return out
 
 
 def upsample(plane: np.ndarray, across: int, down: int) -> np.ndarray:
-    """A chroma plane at full size: triangle filters for halves across or both ways, repeated samples otherwise."""
+    """Chroma planes at full size: triangle filters for halves across or both ways, repeated samples otherwise."""
     if (across, down) == (2, 1):
         return _wider(plane, 2, 1, 2)
     if (across, down) == (2, 2):
-        up, under = np.pad(plane, ((1, 0), (0, 0)), "edge")[:-1], np.pad(plane, ((0, 1), (0, 0)), "edge")[1:]
-        out = np.empty((2 * plane.shape[0], 2 * plane.shape[1]), np.int64)
-        out[::2], out[1::2] = _wider(3 * plane + up, 4, 8, 7), _wider(3 * plane + under, 4, 8, 7)
+        up, under = np.concatenate([plane[..., :1, :], plane[..., :-1, :]], -2), np.concatenate([plane[..., 1:, :], plane[..., -1:, :]], -2)
+        out = np.empty((*plane.shape[:-2], 2 * plane.shape[-2], 2 * plane.shape[-1]), np.int64)
+        out[..., ::2, :], out[..., 1::2, :] = _wider(3 * plane + up, 4, 8, 7), _wider(3 * plane + under, 4, 8, 7)
         return out
-    return plane.repeat(down, 0).repeat(across, 1)
+    return plane.repeat(down, -2).repeat(across, -1)
 
 
-def _planes(scan: Scan, blocks: list[np.ndarray], denom: int) -> tuple[int, np.ndarray]:
-    """(the first row's place on the reduced grid, components x rows x width) of a scan's window."""
+def _planes(scan: Scan, every: np.ndarray, denom: int) -> tuple[int, np.ndarray]:
+    """(the first row's place on the reduced grid, scans x components x rows x width) of windows of scans of one geometry."""
     info = scan.info
     v, h = (max(f[i] for f in scan.factors) for i in (0, 1))
     if any(v % a or h % b for a, b in scan.factors):
@@ -397,10 +424,10 @@ def _planes(scan: Scan, blocks: list[np.ndarray], denom: int) -> tuple[int, np.n
     top = scan.first * 8 * v // denom
     tall, wide = min(-(-info["height"] // denom), scan.last * 8 * v // denom) - top, -(-info["width"] // denom)
     planes = []
-    for c, (a, b) in zip(blocks, scan.factors, strict=True):
-        own = _samples(c, denom)[: -(-tall * a // v), : -(-wide * b // h)]
-        planes.append(upsample(own, h // b, v // a)[:tall, :wide])
-    return top, np.stack(planes).astype(np.uint8)
+    for c, (a, b) in zip(scan.blocks(every), scan.factors, strict=True):
+        own = _samples(c, denom)[:, : -(-tall * a // v), : -(-wide * b // h)]
+        planes.append(upsample(own, h // b, v // a)[:, :tall, :wide])
+    return top, np.stack(planes, 1).astype(np.uint8)
 
 
 def decode(data: bytes, denom: int = 1) -> tuple[dict, np.ndarray]:
@@ -408,21 +435,21 @@ def decode(data: bytes, denom: int = 1) -> tuple[dict, np.ndarray]:
     if denom not in (1, 2, 4, 8):
         raise JpegError("unsupported_scale")
     scan = Scan(data)
-    (blocks,) = decode_scans([scan])
-    if isinstance(blocks, JpegError):
-        raise blocks
-    return scan.info, _planes(scan, blocks, denom)[1]
+    (got,) = decode_scans([scan])
+    if isinstance(got, JpegError):
+        raise got
+    return scan.info, _planes(scan, got[None], denom)[1][0]
 
 
 def to_rgb(planes: np.ndarray, colorspace: str) -> np.ndarray:
-    """height x width x 3; 16-bit fixed point, rounded to nearest, where the components are YCbCr."""
+    """... x height x width x 3; 16-bit fixed point, rounded to nearest, where the components are YCbCr."""
     if colorspace == "Gray":
-        return planes[[0, 0, 0]].transpose(1, 2, 0)
+        return np.moveaxis(planes[..., [0, 0, 0], :, :], -3, -1)
     if colorspace == "Rgb":
-        return planes.transpose(1, 2, 0)
+        return np.moveaxis(planes, -3, -1)
     if colorspace != "YCbCr":
         raise JpegError("unsupported_colorspace")
-    y, b, r = planes.astype(np.int64)
+    y, b, r = np.moveaxis(planes, -3, 0).astype(np.int64)
     b, r, half = b - 128, r - 128, 1 << 15
     out = np.stack([y + ((91881 * r + half) >> 16), y + ((-22554 * b - 46802 * r + half) >> 16), y + ((116130 * b + half) >> 16)], -1)
     return out.clip(0, 255).astype(np.uint8)
@@ -438,7 +465,7 @@ class Job:
             raise JpegError("downscale_unsupported")
         if denom not in (1, 2, 4, 8):
             raise JpegError("unsupported_scale")
-        info = inspect(data)
+        info = plan(data)
         x, y, w, h = roi or (0, 0, info["width"], info["height"])
         if min(x, y, w, h) < 0 or x + w > info["width"] or y + h > info["height"]:
             raise JpegError("invalid_region")
@@ -446,24 +473,47 @@ class Job:
         x0, y0 = x // denom, y // denom
         x1, y1 = (-(-(x + w) // denom), -(-(y + h) // denom)) if w and h else (x0, y0)
         self.rect = (x0, y0, x1 - x0, y1 - y0)
-        self.scan = Scan(data, y0 * denom, y1 * denom)
+        self.scan = Scan(data, y0 * denom, y1 * denom, info)
 
-    def pixels(self, blocks: list[np.ndarray]) -> np.ndarray:
-        """height x width x channels of bytes."""
-        x, y, w, h = self.rect
+    def like(self) -> tuple:
+        """Jobs that agree in this are transformed together."""
+        s = self.scan
+        quant = tuple(np.asarray(q).tobytes() for q in s.quant)
+        return (self.fmt, self.denom, self.alpha, s.info["width"], s.info["height"], s.info["colorspace"], s.first, s.last, tuple(s.factors), quant)
+
+    def whole(self, every: np.ndarray) -> tuple[int, np.ndarray]:
+        """(first row, jobs x rows x width x channels) of the windows of jobs that are alike."""
+        top, planes = _planes(self.scan, every, self.denom)
         colorspace = self.scan.info["colorspace"]
-        top, planes = _planes(self.scan, blocks, self.denom)
-        part = planes[:, y - top : y - top + h, x : x + w]
         if self.fmt == "Gray8" and colorspace in ("Gray", "YCbCr"):
-            out = part[0][..., None]
-        else:
-            out = to_rgb(part, colorspace)
-            if self.fmt == "Gray8":
-                r, g, b = np.moveaxis(out.astype(np.int64), -1, 0)
-                out = ((77 * r + 150 * g + 29 * b + 128) >> 8)[..., None].astype(np.uint8)
-            elif self.fmt == "Rgba8":
-                out = np.concatenate([out, np.full((*out.shape[:2], 1), self.alpha, np.uint8)], -1)
-        return np.ascontiguousarray(out)
+            return top, planes[:, 0, :, :, None]
+        out = to_rgb(planes, colorspace)
+        if self.fmt == "Gray8":
+            r, g, b = np.moveaxis(out.astype(np.int64), -1, 0)
+            out = ((77 * r + 150 * g + 29 * b + 128) >> 8)[..., None].astype(np.uint8)
+        elif self.fmt == "Rgba8":
+            out = np.concatenate([out, np.full((*out.shape[:3], 1), self.alpha, np.uint8)], -1)
+        return top, out
+
+
+def decode_many(jobs: list[Job]) -> list[np.ndarray | JpegError]:
+    """Each job's height x width x channels of bytes, or what is wrong with it."""
+    out: list = decode_scans([j.scan for j in jobs])
+    alike: dict[tuple, list[int]] = {}
+    for i, j in enumerate(jobs):
+        if not isinstance(out[i], JpegError):
+            alike.setdefault(j.like(), []).append(i)
+    for members in alike.values():
+        try:
+            top, whole = jobs[members[0]].whole(np.stack([out[i] for i in members]))
+        except JpegError as e:
+            for i in members:
+                out[i] = e
+            continue
+        for n, i in enumerate(members):
+            x, y, w, h = jobs[i].rect
+            out[i] = np.ascontiguousarray(whole[n, y - top : y - top + h, x : x + w])
+    return out
 
 
 def decode_pixels(data: bytes, fmt: str = "Rgb8", roi: tuple[int, int, int, int] | None = None, denom: int = 1, alpha: int = 255) -> tuple[tuple[int, int, int, int], np.ndarray]:
@@ -473,10 +523,10 @@ def decode_pixels(data: bytes, fmt: str = "Rgb8", roi: tuple[int, int, int, int]
     rounded up. Formats are Rgb8, Gray8 and, at full size, Rgba8.
     """
     job = Job(data, fmt, roi, denom, alpha)
-    (blocks,) = decode_scans([job.scan])
-    if isinstance(blocks, JpegError):
-        raise blocks
-    return job.rect, job.pixels(blocks)
+    (got,) = decode_many([job])
+    if isinstance(got, JpegError):
+        raise got
+    return job.rect, got
 
 
 DECODED = "idx long, x long, y long, w long, h long, pixels binary, error string"
@@ -499,15 +549,10 @@ def decode_jobs(jobs: DataFrame, fmt: str = "Rgb8") -> DataFrame:
         for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             rows, wanted = [], b.to_pylist()
             jobs_ = [one(r) for r in wanted]
-            blocks = iter(decode_scans([j.scan for j in jobs_ if isinstance(j, Job)]))
+            pixels = iter(decode_many([j for j in jobs_ if isinstance(j, Job)]))
             for r, job in zip(wanted, jobs_, strict=True):
-                got = next(blocks) if isinstance(job, Job) else job
-                try:
-                    if isinstance(got, JpegError):
-                        raise got
-                    rows.append((r["idx"], *job.rect, job.pixels(got).tobytes(), None))
-                except JpegError as e:
-                    rows.append((r["idx"], *(None,) * 5, str(e)))
+                got = next(pixels) if isinstance(job, Job) else job
+                rows.append((r["idx"], *(None,) * 5, str(got)) if isinstance(got, JpegError) else (r["idx"], *job.rect, got.tobytes(), None))
             kinds = [*[pa.int64()] * 5, pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in DECODED.split(", ")])
 
