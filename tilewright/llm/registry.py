@@ -58,8 +58,19 @@ QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_suffix_dedup, op3_to
 
 _SPLIT = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 #: DuckDB SQL where it expresses an operator; the others are tested against brute force.
 ORACLES = {
+    "op1_near_duplicates": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r(doc, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc, l.b FROM r JOIN l ON l.a = r.root),
+c AS (SELECT doc, min(root) AS root FROM r GROUP BY doc)
+SELECT doc AS doc_id, coalesce(n.n, 0) AS n_shingles, root AS component_id, root = doc AS kept FROM c LEFT JOIN n ON n.doc_id = doc""",
     "op5_decontamination": f"""
 WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS m FROM (SELECT item_id, {_SPLIT} AS w FROM benchmark) WHERE len(w) > 0),
