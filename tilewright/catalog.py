@@ -332,18 +332,18 @@ def wavelet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {T.HEADERS_SQL}, m AS (SELECT *, least(width, height) AS side FROM headers) SELECT tile, CASE WHEN side < 64 THEN 0 ELSE 1 END AS lrcp,
-CASE WHEN side <= 64 THEN 0 ELSE length(bin((side + 63) // 64 - 1)) END AS rpcl, CASE WHEN tile % 9 = 8 THEN 1 WHEN side < 64 THEN 0 ELSE least(tile % 9, length(bin(side)) - 1) END AS capped FROM m WHERE side >= 64 OR tile % 9 <> 8""")
+CASE WHEN side <= 64 THEN 0 ELSE length(bin((side + 63) // 64 - 1)) END AS rpcl, CASE WHEN side < 64 THEN 0 WHEN tile % 9 = 8 THEN 1 ELSE least(tile % 9, length(bin(side)) - 1) END AS capped FROM m""")
 def level_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = T.headers(spark, sf_dir).filter("least(width, height) >= 64 or tile % 9 <> 8")
+    h = T.headers(spark, sf_dir)
     w, t, asked = F.col("width"), F.col("height"), F.when(F.col("tile") % 9 != 8, F.col("tile") % 9)
     return h.select("tile", rules.lrcp_levels(w, t).alias("lrcp"), rules.rpcl_levels(w, t).alias("rpcl"), rules.capped_levels(w, t, asked, rules.lrcp_levels(w, t)).alias("capped"))
 
 
-@query(f"""WITH {T.HEADERS_SQL}, m AS (SELECT tile, ((width + 8 * max_h - 1) // (8 * max_h)) * ((height + 8 * max_v - 1) // (8 * max_v)) AS mcus, CASE WHEN components = 1 THEN max_h * max_v ELSE max_h * max_v + 2 END AS blocks, tile % 9 AS r FROM headers WHERE components = 3)
+@query(f"""WITH {T.HEADERS_SQL}, m AS (SELECT tile, ((width + 8 * max_h - 1) // (8 * max_h)) * ((height + 8 * max_v - 1) // (8 * max_v)) AS mcus, CASE WHEN components = 1 THEN max_h * max_v ELSE max_h * max_v + 2 END AS blocks, tile % 9 AS r FROM headers)
 SELECT tile, CAST(mcus * blocks * 512 + CASE WHEN r > 0 THEN (greatest(mcus - 1, 0) // r) * 2 ELSE 0 END + 16 AS BIGINT) AS capacity FROM m""")
 def entropy_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = T.headers(spark, sf_dir).filter("components = 3")
-    kind = F.when(F.col("max_v") == 2, "Ybr420").when(F.col("max_h") == 2, "Ybr422").otherwise("Ybr444")
+    h = T.headers(spark, sf_dir)
+    kind = F.when(F.col("components") == 1, "Gray").when(F.col("max_v") == 2, "Ybr420").when(F.col("max_h") == 2, "Ybr422").otherwise("Ybr444")
     mcus = G.mcu_geometry(*map(F.col, ("width", "height", "max_h", "max_v")))["count"]
     return h.select("tile", rules.entropy_capacity(mcus, rules.blocks_per_mcu(kind), F.col("tile") % 9).alias("capacity"))
 
