@@ -1,16 +1,21 @@
-"""Repeated-substring removal: sparse prefix doubling over text positions.
-
-Every position's string of LENGTH bytes has to be ranked against all others. Plain prefix doubling
-would sort a rank pair per byte and round. Here the ranks of short prefixes are taken only where
-the text itself chooses: in the window of each position, the least hash of its 32-byte strings is
-the position's first rank, and neighbouring positions with the same one form a run. Round one
-sorts (first rank, rank of the run's whole span, position): runs alone with their first rank are
-unique and end there, runs whose span has come before are repeats throughout. What is left, each
-span's first run among others with its first rank, has grown past the point where a span helps;
-round two ranks its single positions by their full LENGTH bytes, sorted by (first rank, position).
-
-Equal strings have the same first rank, since it depends on the string alone, so no repeat is
-missed; ranks of spans and strings are 64-bit fingerprints next to a 64-bit first rank.
+"""Repeated-substring removal: prefix doubling over text positions.
+
+Sorting a rank pair for every byte in every round would shuffle some forty bytes a byte of text, so
+positions that cannot matter leave first. In the window of each position, the least hash of its
+32-byte strings is the position's sieve rank, and neighbouring positions with the same one form a
+run. Spark sorts (sieve rank, rank of the run's whole span, position): runs alone with their sieve
+rank are unique and end there, runs whose span has come before are repeats throughout. Equal
+strings have the same sieve rank, since it depends on the string alone, so no repeat is missed.
+
+The positions still open, each span's first run among others with its sieve rank, are ranked by
+prefix doubling. Round one sorts the pairs (rank of 32 bytes, rank of the 32 bytes at offset 32);
+places in the sorted order are the dense ranks of 64 bytes, and positions with a rank of their own
+end. Round two brings a position's rank and the one at offset 36 together by document, and sorts
+these pairs: equal pairs are equal strings of LENGTH bytes, the threshold, and all but a pair's
+first position start with a string that has come before. Round one goes over the ranks in PASSES
+parts, one after another, which bounds the disk it takes.
+
+Ranks of 32 bytes and of spans are 64-bit fingerprints; a pair holds two of them.
 """
 
 from __future__ import annotations
@@ -20,13 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_groups, materialise, mix, powers, release, row_keyed, unkeyed, utf8
 
 LENGTH, GRAM = 100, 32
-_BUFFER = 1 << 19
+#: Offset at which round two takes its second rank, of 64 bytes each.
+STEP = LENGTH - 2 * GRAM
+#: Parts of the rank space that round one sorts in turn.
+PASSES = 4
+#: Positions of one row of open text at most.
+_STRETCH = 1 << 16
 
 
 def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,76 +115,151 @@ def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = np.bincount(group, new_s, group[-1] + 1)
         opened = new_s & (twice | ~new_f | (spans[group] > 1))
         out = ~new_s | opened
-        rows = [(f[out], k[out], s[out], n[out], opened[out])]
+        rows = [(k[out], s[out], n[out], opened[out])]
         if held is not None and spans[0]:
             rows.append(tuple(np.array([x]) for x in held))
             held = None
         if new_f.any():
             i = np.flatnonzero(new_f)[-1]
-            held = None if opened[i] else (f[i], k[i], s[i], n[i], True)
+            held = None if opened[i] else (k[i], s[i], n[i], True)
         last_first, last_span = f[-1], sp[-1]
         cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4].astype(bool))], ["first", "_k", "s", "len", "open"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(bool))], ["_k", "s", "len", "open"])
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_k, text, runs) -> a row per run with its span's bytes."""
+def _open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_k, text, runs) -> a row per stretch of open positions with the bytes their strings cover."""
     for b in batches:
         data, off = utf8(b.column(1))
         for i, found in enumerate(b.column(2).to_pylist()):
-            base = off[i]
-            for a in range(0, len(found), 2048):
-                part = found[a : a + 2048]
-                text = [data[base + r["s"] : base + r["s"] + r["len"] - 1 + LENGTH].tobytes() for r in part]
-                yield pa.RecordBatch.from_arrays([pa.array([r["first"] for r in part], pa.int64()), pa.array([b.column(0)[i].as_py()] * len(part), pa.int64()), pa.array([r["s"] for r in part], pa.int32()), pa.array(text, pa.binary())], ["first", "_k", "s", "bytes"])
+            at = np.array(sorted((r["s"], r["len"]) for r in found))
+            lo, hi = at[:, 0], at.sum(axis=1)
+            cut = np.flatnonzero(lo[1:] != hi[:-1])
+            parts = [(x, min(x + _STRETCH, e)) for s, e in zip(lo[np.append(0, cut + 1)], hi[np.append(cut, len(hi) - 1)], strict=True) for x in range(s, e, _STRETCH)]
+            for j in range(0, len(parts), 1024):
+                some = parts[j : j + 1024]
+                text = [data[off[i] + s : off[i] + e - 1 + LENGTH].tobytes() for s, e in some]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(some), pa.int64()), pa.array([s for s, _ in some], pa.int32()), pa.array(text, pa.binary())], ["_k", "s", "bytes"])
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans sorted by first rank and position -> the stretches of positions whose full string has come before.
+def _pairs(part: int):
+    """Stretches -> (a, b, _k, t): ranks of 32 bytes at a position and 32 further on, t = 2 * position, and one more if it isn't open.
 
-    Between buffers only the ranks of the one first rank that goes on are kept.
+    The STEP positions after a stretch are ranked for round two's sake. Only ranks of the given part.
     """
-    seen, seen_first = np.zeros(0, np.uint64), None
-    held: list[tuple[int, int, int, bytes]] = []
-    size = 0
-
-    def flush():
-        nonlocal seen, seen_first, size
-        data = np.frombuffer(b"".join(h[3] for h in held), np.uint8)
-        n = np.array([len(h[3]) for h in held])
-        count = n - LENGTH + 1
-        base = np.cumsum(n) - n
-        run = np.repeat(np.arange(len(held)), count)
-        within = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        at = base[run] + within
-        with np.errstate(over="ignore"):
-            c, inv = _prefix(data)
-            rank = mix((c[at + LENGTH] - c[at]) * inv[at])
-        _, first = np.unique(rank, return_index=True)
-        again = np.ones(len(rank), bool)
-        again[first] = False  # np.unique gives each rank's first place
-        firsts = np.array([h[0] for h in held])
-        going = firsts[run] == seen_first if seen_first is not None else np.zeros(len(run), bool)
-        again |= going & np.isin(rank, seen)
-        last = firsts[run] == firsts[-1]
-        old = seen if seen_first == firsts[-1] else np.zeros(0, np.uint64)
-        seen, seen_first = np.union1d(old, rank[last]), firsts[-1]
-        keys, starts = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-        edge = np.flatnonzero(again & np.concatenate([[True], ~again[:-1] | (run[1:] != run[:-1])]))
-        stop = np.flatnonzero(again & np.concatenate([~again[1:] | (run[1:] != run[:-1]), [True]]))
-        out = pa.RecordBatch.from_arrays([pa.array(keys[run[edge]]), pa.array((starts[run[edge]] + within[edge]).astype(np.int32)), pa.array((stop - edge + 1).astype(np.int32))], ["_k", "s", "len"])
-        held.clear()
-        size = 0
-        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = utf8(b.column(2))
+            keys, starts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in doc_groups(off):
+                with np.errstate(over="ignore"):
+                    c, inv = _prefix(data[off[i] : off[j]])
+                    h = mix((c[GRAM:] - c[:-GRAM]) * inv[: len(c) - GRAM])
+                base, n = off[i:j] - off[i], np.diff(off[i : j + 1])
+                count = n - 2 * GRAM + 1
+                row = np.repeat(np.arange(j - i), count)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = base[row] + within
+                mine = np.flatnonzero(h[at] % np.uint64(PASSES) == part)
+                row, within, at = row[mine], within[mine], at[mine]
+                t = 2 * (starts[i:j][row].astype(np.int64) + within) + (within > n[row] - LENGTH)
+                cols = [pa.array(x) for x in (h[at].view(np.int64), h[at + GRAM].view(np.int64), keys[i:j][row], t)]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "_k", "t"])
+
+    return run
+
+
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+
+
+def _dense(part: int):
+    """Pairs sorted by (a, b, _k, t) -> (rank, _k, t) of the positions that share their pair.
+
+    A pair's rank is its place among its task's pairs, after the part and the task. A position that
+    two stretches hold counts once. One row is held back: the last, until the next shows its pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = part << 56 | TaskContext.get().partitionId() << 36
+        last: list[np.ndarray] | None = None
+        place, shared = 0, False  # of the row held back
+        names = ["rank", "_k", "t"]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = _columns(b)
+            if last is not None:
+                cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+            a, c, k, t = cols
+            same = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+            once = np.append(True, ~(same & (k[1:] == k[:-1]) & (t[1:] >> 1 == t[:-1] >> 1)))
+            if not once.all():
+                a, c, k, t = cols = [x[once] for x in cols]
+                same = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+            rank = place + np.append(0, np.cumsum(~same))
+            out = np.append(shared, same)
+            shared = bool(out[-1])
+            out[:-1] |= same
+            out = np.flatnonzero(out[:-1])
+            last, place = [x[-1:] for x in cols], int(rank[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(base + rank[out]), pa.array(k[out]), pa.array(t[out])], names)
+        if last is not None and shared:
+            yield pa.RecordBatch.from_arrays([pa.array([base + place], pa.int64()), pa.array(last[2]), pa.array(last[3])], names)
+
+    return run
+
+
+def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks sorted by (_k, t) -> (rank, rank at STEP further on, _k, s) of open positions where both are shared."""
+    held: list[np.ndarray] | None = None
+
+    def pairs(cols: list[np.ndarray], upto: int) -> pa.RecordBatch:
+        rank, k, t = cols
+        key = np.append(0, np.cumsum(k[1:] != k[:-1])) << 32 | t >> 1
+        i = np.flatnonzero(t[:upto] & 1 == 0)
+        j = np.searchsorted(key, key[i] + STEP)
+        hit = key[np.minimum(j, len(key) - 1)] == key[i] + STEP
+        i, j = i[hit], j[hit]
+        return pa.RecordBatch.from_arrays([pa.array(rank[i]), pa.array(rank[j]), pa.array(k[i]), pa.array(t[i] >> 1)], ["rank", "next", "_k", "s"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = _columns(b)
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        rank, k, t = cols
+        open_end = (k == k[-1]) & (t >> 1 > (t[-1] >> 1) - STEP)
+        upto = int(np.argmax(open_end))
+        if upto:
+            yield pairs(cols, upto)
+        held = [x[upto:] for x in cols]
+    if held is not None:
+        yield pairs(held, len(held[0]))
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs sorted by (rank, next, _k, s) -> the positions of each but its first."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        r, q, k, s = _columns(b)
+        again = np.append((r[0], q[0]) == last, (r[1:] == r[:-1]) & (q[1:] == q[:-1]))
+        last = (r[-1], q[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(k[again]), pa.array(s[again])], ["_k", "s"])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions sorted by (_k, s) -> stretches, cut at the ends of batches."""
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            held.append(row)
-            size += len(row[3])
-            if size >= _BUFFER:
-                yield flush()
-    if held:
-        yield flush()
+        if not b.num_rows:
+            continue
+        k, s = _columns(b)
+        edge = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(k[edge]), pa.array(s[edge].astype(np.int32)), pa.array(np.diff(np.append(edge, len(s))).astype(np.int32))], ["_k", "s", "len"])
 
 
 def _cover(found: list[dict] | None, n: int) -> np.ndarray:
@@ -209,12 +295,23 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
     """(_k, _text) -> (_k, s, len): every position whose LENGTH bytes start earlier, too, as stretches."""
     sparse = rows.mapInArrow(_runs, "first long, span long, _k long, s int, len int, twice boolean")
     ordered = sparse.repartition("first").sortWithinPartitions("first", "span", "_k", "s")
-    round_one = materialise(ordered.mapInArrow(_rerank, "first long, _k long, s int, len int, open boolean"))
+    sieved = materialise(ordered.mapInArrow(_rerank, "_k long, s int, len int, open boolean"))
+    release(rows.sparkSession)
+    left = sieved.filter("open").groupBy("_k").agg(F.collect_list(F.struct("s", "len")).alias("runs"))
+    texts = materialise(rows.join(left, "_k").select("_k", "_text", "runs").mapInArrow(_open_texts, "_k long, s int, bytes binary"))
+    release(rows.sparkSession)
+    ranks = None
+    for part in range(PASSES):
+        pairs = texts.mapInArrow(_pairs(part), "a long, b long, _k long, t long").repartition("a").sortWithinPartitions("a", "b", "_k", "t")
+        done = materialise(pairs.mapInArrow(_dense(part), "rank long, _k long, t long"))
+        ranks = done if ranks is None else ranks.union(done)
+        release(rows.sparkSession)
+    pairs = materialise(ranks.repartition("_k").sortWithinPartitions("_k", "t").mapInArrow(_advance, "rank long, next long, _k long, s long"))
+    release(rows.sparkSession)
+    later = materialise(pairs.repartition("rank").sortWithinPartitions("rank", "next", "_k", "s").mapInArrow(_later, "_k long, s long"))
     release(rows.sparkSession)
-    left = round_one.filter("open").groupBy("_k").agg(F.collect_list(F.struct("first", "s", "len")).alias("runs"))
-    spans = rows.join(left, "_k").select("_k", "_text", "runs").mapInArrow(_spans, "first long, _k long, s int, bytes binary")
-    round_two = spans.repartition("first").sortWithinPartitions("first", "_k", "s").mapInArrow(_ranked, "_k long, s int, len int")
-    out = materialise(round_one.filter("not open").select("_k", "s", "len").union(round_two))
+    stretches = later.repartition("_k").sortWithinPartitions("_k", "s").mapInArrow(_stretches, "_k long, s int, len int")
+    out = materialise(sieved.filter("not open").select("_k", "s", "len").union(stretches))
     release(rows.sparkSession)
     return out
 
