@@ -212,7 +212,11 @@ def _dense(part: int):
 
 
 def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks sorted by (_k, t) -> (rank, rank at STEP further on, _k, s) of open positions where both are shared."""
+    """Ranks sorted by (_k, t) -> (rank, rank at STEP further on, _k, s, later) of open positions where both are shared.
+
+    Within a batch all but a pair's first position are later ones and needn't be sorted against the
+    rest, so a common pair goes on as one row a batch.
+    """
     held: list[np.ndarray] | None = None
 
     def pairs(cols: list[np.ndarray], upto: int) -> pa.RecordBatch:
@@ -222,7 +226,11 @@ def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = np.searchsorted(key, key[i] + STEP)
         hit = key[np.minimum(j, len(key) - 1)] == key[i] + STEP
         i, j = i[hit], j[hit]
-        return pa.RecordBatch.from_arrays([pa.array(rank[i]), pa.array(rank[j]), pa.array(k[i]), pa.array(t[i] >> 1)], ["rank", "next", "_k", "s"])
+        r, q = rank[i], rank[j]
+        order = np.lexsort((q, r))  # stable, so a pair's positions stay in order
+        later = np.zeros(len(i), bool)
+        later[order[1:]] = (r[order[1:]] == r[order[:-1]]) & (q[order[1:]] == q[order[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(r), pa.array(q), pa.array(k[i]), pa.array(t[i] >> 1), pa.array(later)], ["rank", "next", "_k", "s", "later"])
 
     for b in batches:
         if not b.num_rows:
@@ -302,15 +310,16 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
     release(rows.sparkSession)
     ranks = None
     for part in range(PASSES):
-        pairs = texts.mapInArrow(_pairs(part), "a long, b long, _k long, t long").repartition("a").sortWithinPartitions("a", "b", "_k", "t")
+        pairs = texts.mapInArrow(_pairs(part), "a long, b long, _k long, t long").repartition("a", "b").sortWithinPartitions("a", "b", "_k", "t")
         done = materialise(pairs.mapInArrow(_dense(part), "rank long, _k long, t long"))
         ranks = done if ranks is None else ranks.union(done)
         release(rows.sparkSession)
-    pairs = materialise(ranks.repartition("_k").sortWithinPartitions("_k", "t").mapInArrow(_advance, "rank long, next long, _k long, s long"))
+    pairs = materialise(ranks.repartition("_k").sortWithinPartitions("_k", "t").mapInArrow(_advance, "rank long, next long, _k long, s long, later boolean"))
     release(rows.sparkSession)
-    later = materialise(pairs.repartition("rank").sortWithinPartitions("rank", "next", "_k", "s").mapInArrow(_later, "_k long, s long"))
+    firsts = pairs.filter("not later").drop("later").repartition("rank", "next").sortWithinPartitions("rank", "next", "_k", "s")
+    later = materialise(firsts.mapInArrow(_later, "_k long, s long"))
     release(rows.sparkSession)
-    stretches = later.repartition("_k").sortWithinPartitions("_k", "s").mapInArrow(_stretches, "_k long, s int, len int")
+    stretches = later.union(pairs.filter("later").select("_k", "s")).repartition("_k").sortWithinPartitions("_k", "s").mapInArrow(_stretches, "_k long, s int, len int")
     out = materialise(sieved.filter("not open").select("_k", "s", "len").union(stretches))
     release(rows.sparkSession)
     return out
