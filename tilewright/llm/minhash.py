@@ -12,9 +12,9 @@ nodes is compared in one of them.
 
 Signatures only rule pairs out, with a margin of many standard errors; each link is confirmed on
 the full sets, recomputed from the texts. A pair at the threshold survives a branching with
-probability 0.88 and any depth with over 0.6. The trees share their branching coordinates, so they
-don't miss independently: by calculation, all twelve miss a pair at 0.80 with about 3 in 10**4 at
-depth 8, 3 in 10**3 at depth 20 and 5 in 10**3 at depth 30, and closer pairs more rarely.
+probability 0.88 and any depth with over 0.6. All trees draw on the same coordinates, so they don't
+miss quite independently: by calculation, all twelve miss a pair at 0.80 with about 4 in 10**7 at
+depth 4, 6 in 10**6 at depth 8 and 3 in 10**5 at depth 30, and closer pairs more rarely.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialise, mix, release, row_keyed, shingle_sets, unkeyed, utf8
 from .components import components
 
-#: Minwise coordinates: of the sketch that rules pairs out, and those of them that trees branch by.
-COORDS, BRANCHING = 512, 64
+#: Minwise coordinates. Trees branch by any of them, to 16 bits; the sketch that rules pairs out has the low 8 bits of all.
+COORDS = 512
 TREES = 12
 #: Nodes of at most so many documents are compared exhaustively.
 SMALL = 4096
@@ -62,17 +62,17 @@ def _seed(tree: int) -> int:
     return (tree + 1) * 0x632BE59BD9B4E019 & ((1 << 64) - 1)
 
 
-def branch(path: np.ndarray, row: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The children of nodes ``path``, each holding the document in ``sig``'s row ``row``."""
+def branch(path: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children of nodes ``path``, each holding the document whose coordinates are in row ``row``."""
     with np.errstate(over="ignore"):
         pick = mix(path + np.uint64(0xA5A5A5A5))
-        one = (pick >> np.uint64(8)) % np.uint64(BRANCHING)
-        two = (one + np.uint64(1) + (pick >> np.uint64(24)) % np.uint64(BRANCHING - 1)) % np.uint64(BRANCHING)
+        one = (pick >> np.uint64(8)) % np.uint64(COORDS)
+        two = (one + np.uint64(1) + (pick >> np.uint64(24)) % np.uint64(COORDS - 1)) % np.uint64(COORDS)
         more = (pick & np.uint64(1)).astype(bool)
         paths = np.concatenate([path, path[more]])
         rows = np.concatenate([row, row[more]])
         at = np.concatenate([one, two[more]])
-        token = sig[rows, at.astype(np.int64)].astype(np.uint64)
+        token = high[rows, at.astype(np.int64)].astype(np.uint64) << np.uint64(8) | low[rows, at.astype(np.int64)]
         return mix(paths * np.uint64(0x9FB21C651E98DF25) + mix(at * np.uint64(0x100000001B3) + (token << np.uint64(8)))), rows
 
 
@@ -80,42 +80,46 @@ def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
-            n, sig, digest, low = [], [], [], []
+            n, digest, low, high = [], [], [], []
             for s in shingle_sets(data, off, k):
                 n.append(len(s))
                 g = signature(s)
-                sig.append(g[:BRANCHING].tobytes())
                 low.append(g.astype(np.uint8).tobytes())
+                high.append((g >> np.uint32(8)).astype(np.uint8).tobytes())
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], ["_k", "n", "digest", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["_k", "n", "digest", "low", "high"])
 
     return run
 
 
+def _coordinates(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDS)
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_k, sig) -> (node, _k): all nodes at depth START, over all trees."""
+    """(_k, low, high) -> (node, _k): all nodes at depth START, over all trees."""
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BRANCHING)
+        low, high = _coordinates(b.column(1)), _coordinates(b.column(2))
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for t in range(TREES):
             row = np.arange(len(ids))
             path = np.full(len(ids), _seed(t), np.uint64)
             for _ in range(START):
-                path, row = branch(path, row, sig)
+                path, row = branch(path, row, low, high)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[row])], ["node", "_k"])
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, _k, sig) -> (node, _k), STEP levels further."""
+    """(node, _k, low, high) -> (node, _k), STEP levels further."""
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, BRANCHING)
-        path, row = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(len(sig))
+        low, high = _coordinates(b.column(2)), _coordinates(b.column(3))
+        path, row = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(len(low))
         for _ in range(STEP):
-            path, row = branch(path, row, sig)
+            path, row = branch(path, row, low, high)
         ids = b.column(1).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[row])], ["node", "_k"])
 
@@ -175,7 +179,7 @@ def _with_lead(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COORDS) for i in (2, 3))
+                x, y = (_coordinates(b.column(i)) for i in (2, 3))
                 yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= least))
 
     return run
@@ -215,15 +219,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     spark = docs.sparkSession
     rows, ids = row_keyed(docs, id_col, text_col)
     least = percent / 100 - MARGIN
-    feats = materialise(rows.mapInArrow(_features(shingle), "_k long, n long, digest binary, sig binary, low binary"))
+    feats = materialise(rows.mapInArrow(_features(shingle), "_k long, n long, digest binary, low binary, high binary"))
     release(spark)
     classes = feats.filter("n > 0").groupBy("digest").agg(F.min("_k").alias("root"))
     member = materialise(feats.filter("n > 0").select("_k", "digest").join(classes, "digest").select("_k", "root"))
-    reps = feats.join(member.filter("_k = root").select("_k"), "_k", "left_semi").select("_k", "sig", "low")
+    reps = feats.join(member.filter("_k = root").select("_k"), "_k", "left_semi").select("_k", "low", "high")
     reps = materialise(reps)
     feats = feats.select("_k", "n")
 
-    nodes = reps.select("_k", "sig").mapInArrow(_nodes, "node long, _k long")
+    nodes = reps.mapInArrow(_nodes, "node long, _k long")
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("_k").alias("lead")).filter("c > 1")
     level = materialise(nodes.join(shared, "node").select("node", "_k", "lead"))
     release(spark)
@@ -261,7 +265,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         small = small.repartition("node").sortWithinPartitions("node", "_k").mapInArrow(_pairs(least), "a long, b long")
         large = level.filter(F.col("c") > SMALL)
         more = materialise(confirmed(small.union(with_leads(large.select("node", "_k", "lead")))))
-        deeper = large.select("node", "_k").join(reps.select("_k", "sig"), "_k").select("node", "_k", "sig").mapInArrow(_children, "node long, _k long")
+        deeper = large.select("node", "_k").join(reps, "_k").select("node", "_k", "low", "high").mapInArrow(_children, "node long, _k long")
         links = links.union(more)
         if more.limit(1).count():
             links = materialise(links)
