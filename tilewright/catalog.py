@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_planning, catalog_samples  # noqa: F401  (they register their queries)
+from . import catalog_j2k, catalog_planning, catalog_samples  # noqa: F401  (they register their queries)
 from .functions import geometry as G
 from .functions import pixels as P
 from .functions import rules, wavelet
