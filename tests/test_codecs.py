@@ -13,6 +13,17 @@ def test_lzw(n):
             containers.lzw(containers.lzw_pack(data), n - 1)
 
 
+def test_lzw_streams_of_others():
+    """A clear code may come early, and streams without one start."""
+    two = containers.lzw_pack(b"ab" * 9)
+    bits = "".join(f"{c:09b}" for c in (97, 258, 256, 98, 256, 99, 257)).ljust(64, "0")
+    assert containers.lzw(int(bits, 2).to_bytes(8, "big"), 9) == b"aaabc"
+    with pytest.raises(ValueError, match="invalid LZW code"):
+        containers.lzw(int(f"{259:09b}".ljust(16, "0"), 2).to_bytes(2, "big"), 9)
+    with pytest.raises(ValueError, match="without a stop"):
+        containers.lzw(two[:-2], 99)
+
+
 def test_raw_deflate_fallback():
     import zlib
 
